@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import clusters
-from orrery.sources.tables import places, table
+from pyspark.sql import functions as F
+
+from orrery.llm import clusters, similar
+from orrery.sources.tables import in_force, places, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,5 +21,17 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe(p, clusters.clusters(p, 60.0, 5), 3)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of points with a cosine of at least 0.9, each among the other's five most similar."""
+    best = similar.similar(in_force(table(spark, d, "points"), "id"), 48, 5, 0.9, copies=False)
+    pairs = best.groupBy(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).agg(F.count("*").alias("n"))
+    return pairs.where("n = 2").select("id_a", "id_b")
+
+
+def p2_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar points of each, with a cosine of at least 0.9."""
+    return similar.similar(in_force(table(spark, d, "points"), "id"), 48, 5, 0.9)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar)}
 SQL = {}
