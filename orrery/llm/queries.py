@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import clusters, similar
+from orrery.llm import clusters, mixing, similar, tokens
+from orrery.plans.scratch import materialize
 from orrery.sources.tables import in_force, places, table
 
 
@@ -33,5 +34,31 @@ def p2_similar(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar(in_force(table(spark, d, "points"), "id"), 48, 5, 0.9)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar)}
-SQL = {}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of each document's text by byte_bpe_50k."""
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's text, decoded from its ids."""
+    return tokens.decode(p6_ids(spark, d))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return mixing.mix(materialize(docs.select("doc_id", "source", "n_tokens"), "mix-sizes"), table(spark, d, "mix_target"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture in the order of training: one row for each use of a document."""
+    return mixing.in_order(_mixture(spark, d)[0])
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target, planned and reached share of each source."""
+    return _mixture(spark, d)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar, p6_ids, p6_decoded, p7_mix, p7_shares)}
+#: Where SQL can say it: texts come back as they were; null texts as the empty text.
+SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
