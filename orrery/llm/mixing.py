@@ -46,7 +46,8 @@ def shares(sizes: DataFrame, mix: DataFrame, total: float | None = None) -> Data
     s = s.withColumn("full", full)
     s = s.withColumn("given", F.sum("most").over(w) - F.col("most")).withColumn("left", F.sum("share").over(everyone) - F.sum("share").over(w) + F.col("share"))
     s = s.withColumn("level", F.try_divide(F.col("want") - F.col("given"), F.col("left")))
-    level = F.coalesce(F.min(F.when((F.col("share") > 0) & (F.col("level") <= F.col("full") * (1 + 1e-12)), F.col("level"))).over(everyone), F.max("full").over(everyone), F.lit(0.0))
+    # The first source that isn't exhausted sets the level; computed for later ones it only falls.
+    level = F.coalesce(F.max(F.when((F.col("share") > 0) & (F.col("level") <= F.col("full") * (1 + 1e-12)), F.col("level"))).over(everyone), F.max("full").over(everyone), F.lit(0.0))
     s = s.withColumn("planned", F.least(F.col("most"), level * F.col("share")))
     return s.select(
         "source", "n_docs", "tokens", F.col("share").alias("target_share"), "cap", "planned",

@@ -17,12 +17,13 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from orrery.plans.scratch import materialize
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Unicode's white space, which Java's \s doesn't name. The pattern is that of the tokenizer's public description.
-_S = r"\s\u0085   -     　"
+_S = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 _BUCKETS = 16384
 
@@ -137,7 +138,7 @@ def token_counts(documents: DataFrame, path: str | None = None, text: str = "tex
     path = path or vocabulary_path()
     table = ranks(path)
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    schema = documents.schema.add("n_tokens", "bigint")
+    schema = StructType([*documents.schema.fields, StructField("n_tokens", LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
