@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import clusters, mixing, similar, tokens
+from orrery.llm import clusters, mixing, pii, similar, tokens
 from orrery.plans.scratch import materialize
 from orrery.sources.tables import in_force, places, table
 
@@ -59,6 +59,25 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar, p6_ids, p6_decoded, p7_mix, p7_shares)}
+#: The key of the queries' surrogates; real runs give their own.
+KEY = "surrogates of the public queries"
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information in the texts: kind and first character."""
+    return pii.detect(table(spark, d, "documents"), table(spark, d, "given_name")).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p8_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed surrogates."""
+    return pii.pseudonymize(table(spark, d, "documents"), table(spark, d, "given_name"), KEY)
+
+
+def p8_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Surrogates that stand for several values."""
+    return pii.collisions(pii.detect(table(spark, d, "documents"), table(spark, d, "given_name")), KEY)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_replaced, p8_collisions)}
 #: Where SQL can say it: texts come back as they were; null texts as the empty text.
 SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
