@@ -14,7 +14,6 @@ import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -409,9 +408,14 @@ def find(text: str, boxes: dict[int, tuple[int, int]], names: Names) -> list[tup
 _CLASSES = ("bcdfghjklmnpqrstvwxz", "aeiouy", "0123456789", "áàâäãåæ", "éèêë", "íìîï", "óòôöõøœ", "úùûü", "ñçß")
 
 
-@lru_cache(maxsize=200_000)
+_TURNS: dict[tuple, tuple[int, ...]] = {}
+
+
 def _turn(key: bytes, kind: str, before: str, n: int) -> tuple[int, ...]:
     """A keyed order of n signs that depends on what stands before."""
+    known = (key, kind, before, n)
+    if known in _TURNS:
+        return _TURNS[known]
     order, k = list(range(n)), 0
     stream = b""
     for i in range(n - 1, 0, -1):
@@ -420,7 +424,10 @@ def _turn(key: bytes, kind: str, before: str, n: int) -> tuple[int, ...]:
         j = int.from_bytes(stream[k : k + 2], "big") % (i + 1)
         k += 2
         order[i], order[j] = order[j], order[i]
-    return tuple(order)
+    if len(_TURNS) > 200_000:
+        _TURNS.clear()
+    _TURNS[known] = tuple(order)
+    return _TURNS[known]
 
 
 def surrogate(value: str, kind: str, key: bytes) -> str:
