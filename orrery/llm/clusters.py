@@ -8,6 +8,7 @@ Where boxes leave it open whether two cells touch, only those boxes are split fu
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,8 @@ from orrery.plans.scratch import materialize
 
 #: Cells on a tile's side; halvings by 8 of a cell's side; halvings at which tiles look.
 TILE, LEVELS, FIRST = 32, 7, 1
-_BOX = "r bigint, fi bigint, fj bigint, n bigint, low bigint, x1 double, x2 double, y1 double, y2 double"
+#: Rows of tiles that are solved together.
+BATCH = 50_000
 
 
 def _grid(points: DataFrame, eps: float) -> DataFrame:
@@ -85,9 +87,10 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _local(t: pd.DataFrame, eps: float) -> pd.DataFrame:
-    """One tile: 'cell' rows give each cell's smallest id with its local cluster's; 'open' rows pairs of boxes that may or may not touch."""
+    """Whole tiles: 'cell' rows give each cell's smallest id with its local cluster's; 'open' rows pairs of boxes that may or may not touch."""
     t = t.reset_index(drop=True)
-    cell, first = np.unique(t[["r", "cj"]].to_numpy(), axis=0, return_inverse=True)
+    tile = np.unique(t[["tr", "tc"]].to_numpy(), axis=0, return_inverse=True)[1].ravel()
+    cell, first = np.unique(np.column_stack([tile, t[["r", "cj"]].to_numpy()]), axis=0, return_inverse=True)
     first = first.ravel()
     low = np.full(len(cell), np.iinfo(np.int64).max)
     np.minimum.at(low, first, t["low"].to_numpy())
@@ -99,19 +102,23 @@ def _local(t: pd.DataFrame, eps: float) -> pd.DataFrame:
     box = {c: t[c].to_numpy() for c in ("x1", "x2", "y1", "y2")}
     reach = math.degrees(eps / EARTH_RADIUS) * 1.0001
     mid = (box["y1"] + box["y2"]) / 2
-    wide = reach / max(math.cos(math.radians(min(89.999, np.abs(mid).max() + 2 * reach))), 1e-9)
-    if (t["polar"]).any():
-        wide = 720.0
-    band = np.floor((mid - mid.min()) / (2 * reach)).astype(np.int64)
+    south, far_lat = np.full(tile.max() + 1, 90.0), np.zeros(tile.max() + 1)
+    np.minimum.at(south, tile, mid)
+    np.maximum.at(far_lat, tile, np.abs(mid))
+    wide = (reach / np.maximum(np.cos(np.radians(np.minimum(89.999, far_lat + 2 * reach))), 1e-9))[tile]
+    wide[np.isin(tile, tile[t["polar"].to_numpy()])] = 720.0
+    # One ascending number for all tiles: tile, band of latitude, longitude.
     x = (box["x1"] + box["x2"]) / 2
     half = (box["x2"] - box["x1"]).max() / 2
-    at = band * 8192.0 + x
+    band = tile.astype(np.int64) * 256 + np.floor((mid - south[tile]) / (2 * reach)).astype(np.int64)
+    place = lambda band, x: (band << 34) + np.floor(np.clip(x + 800, 0, 1700) * 1e7).astype(np.int64)
+    at = place(band, x)
     o = np.argsort(at, kind="stable")
     at = at[o]
     sure_a, sure_b, maybe = [], [], []
     for up in (0, 1, 2):
-        goal = (band + up) * 8192.0 + x
-        lo, hi = np.searchsorted(at, goal - wide - 2 * half - 1e-7), np.searchsorted(at, goal + wide + 2 * half + 1e-7, side="right")
+        span = wide + 2 * half + 3e-7
+        lo, hi = np.searchsorted(at, place(band + up, x - span)), np.searchsorted(at, place(band + up, x + span), side="right")
         n = hi - lo
         ends = np.cumsum(n)
         a = 0
@@ -137,7 +144,7 @@ def _local(t: pd.DataFrame, eps: float) -> pd.DataFrame:
     np.logical_or.at(shared, first, t["shared"].to_numpy())
     np.logical_or.at(home, first, t["home"].to_numpy())
     label = low[order][root[rank]]
-    cells = pd.DataFrame({"kind": "cell", "r": cell[:, 0], "cj": cell[:, 1], "low": low, "label": label, "shared": shared, "home": home})
+    cells = pd.DataFrame({"kind": "cell", "r": cell[:, 1], "cj": cell[:, 2], "low": low, "label": label, "shared": shared, "home": home})
     i, j = m[:, 0], m[:, 1]
     g = lambda c, k: t[c].to_numpy()[k]
     swap = (g("r", i) > g("r", j)) | ((g("r", i) == g("r", j)) & (g("fj", i) > g("fj", j)))
@@ -146,6 +153,24 @@ def _local(t: pd.DataFrame, eps: float) -> pd.DataFrame:
     return pd.concat([cells, opened], ignore_index=True)
 
 
+def _tiles_of(batches: Iterator[pd.DataFrame], eps: float) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by tile; as many whole tiles as BATCH rows hold are solved together."""
+    kept: list[pd.DataFrame] = []
+    n = 0
+    for b in batches:
+        kept.append(b)
+        n += len(b)
+        if n >= BATCH:
+            d = pd.concat(kept, ignore_index=True)
+            last = ((d["tr"] == d["tr"].iloc[-1]) & (d["tc"] == d["tc"].iloc[-1])).to_numpy()
+            if not last.all():
+                yield _local(d[~last], eps)
+            kept = [d[last]]
+            n = int(last.sum())
+    if n:
+        yield _local(pd.concat(kept, ignore_index=True), eps)
+
+
 _LOCAL = "kind string, r bigint, cj bigint, low bigint, label bigint, shared boolean, home boolean, fi bigint, fj bigint, r_b bigint, fi_b bigint, fj_b bigint, shift double"
 
 
@@ -220,7 +245,9 @@ def clusters(points: DataFrame, eps: float = 60.0, least: int = 5) -> DataFrame:
     """
     g = _grid(points, eps)
     g = materialize(g, "clusters-grid")
-    local = _tiles(g, eps).groupBy("tr", "tc").applyInPandas(lambda t: _local(t, eps), _LOCAL)
+    parts = int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = _tiles(g, eps).repartition(parts, "tr", "tc").sortWithinPartitions("tr", "tc")
+    local = tiles.mapInPandas(lambda it: _tiles_of(it, eps), _LOCAL)
     local = materialize(local, "clusters-local")
     cells = local.where("kind = 'cell'")
     open_ = local.where("kind = 'open'")
