@@ -66,8 +66,10 @@ def beta_tail(x: np.ndarray, p: float, q: float = 0.5) -> np.ndarray:
 
 
 def _pearson(a, b):
-    """The larger of the correlation and its two-sided p-value."""
+    """The larger of the correlation and its two-sided p-value. With fewer than three entries there is no p-value."""
     r = np.clip(_r(a, b), -1, 1)
+    if a.shape[1] < 3:
+        return r
     return np.fmax(r, beta_tail(1 - r * r, a.shape[1] / 2 - 1))
 
 

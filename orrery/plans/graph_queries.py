@@ -246,7 +246,8 @@ def _transverse(s: SparkSession, d: str) -> DataFrame:
 @_query("edge_segments", f"WITH {G}, {PLACES_SQL} SELECT u, v, round(a.lon, 7) AS x1, round(a.lat, 7) AS y1, round(b.lon, 7) AS x2, round(b.lat, 7) AS y2, round(w, 4) AS weight FROM shp JOIN places a ON u = a.id JOIN places b ON v = b.id")
 def _segments(s: SparkSession, d: str) -> DataFrame:
     p = places(table(s, d, "x_shp")).select("id", F.array("lon", "lat").alias("x"))
-    return rounded(shapefile.segments(shp(s, d)[0], p), 7).withColumn("weight", F.round("weight", 4))
+    e = shapefile.segments(shp(s, d)[0], p)
+    return e.select("u", "v", *[(F.round(c, 4 if c == "weight" else 7) + 0.0).alias(c) for c in ("x1", "y1", "x2", "y2", "weight")])
 
 
 ROADS = "WITH r AS (SELECT CAST(row_number() OVER () AS BIGINT) AS way_row, _id AS way, list_filter(list_transform(nd, lambda n: n._ref), lambda x: x IS NOT NULL) AS r FROM osm_way), seg AS (SELECT way, unnest(range(1, len(r))) AS i, r FROM r WHERE len(r) > 1), s AS (SELECT way, CAST(i - 1 AS BIGINT) AS pos, r[i] AS a, r[i + 1] AS b FROM seg), roads AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM s WHERE a <> b)"
