@@ -134,7 +134,8 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids
 
 
 def token_counts(documents: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """documents with n_tokens BIGINT, the number of ids of the text (0 for null and empty ones), counted batch by batch with the tokenizer's library."""
+    """documents with n_tokens BIGINT, the number of ids of the text (0 for null and empty ones; a column of that name is replaced), counted batch by batch with the tokenizer's library."""
+    documents = documents.drop("n_tokens")
     path = path or vocabulary_path()
     table = ranks(path)
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
