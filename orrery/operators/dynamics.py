@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from orrery.plans.numbering import numbered
+
 #: Nodes of the graphs that one simulation or spectrum takes as a dense matrix.
 MOST_NODES = 5_000
 
@@ -93,7 +95,8 @@ def series(ts: DataFrame) -> DataFrame:
 def by_degree(weights: DataFrame, nodes: int, degree: float) -> DataFrame:
     """(u, v, w): the pairs of largest absolute weight, as many as give this average degree; equal ones: smaller ends first."""
     n = max(0, round(nodes * degree / 2))
-    return weights.orderBy(F.desc(F.abs("w")), "u", "v").limit(n)
+    ranked = numbered(weights.withColumn("_size", F.abs("w")), [F.desc("_size"), "u", "v"], "_rank")
+    return ranked.where(F.col("_rank") < n).drop("_size", "_rank")
 
 
 def correlations(points: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import entropy as E
+from orrery.plans.numbering import numbered
 from orrery.plans.scratch import materialize
 
 MOST_PARTS = 20_000
@@ -32,14 +33,17 @@ class _Parts:
         rows = stats.limit(most_parts + 1).collect()
         if len(rows) > most_parts:
             raise ValueError(f"more than {most_parts} parts: use merge_rounds() or give a prior partition")
-        members = {r["cid"]: r["nodes"] for r in partition.groupBy("cid").agg(F.sort_array(F.collect_list("node")).alias("nodes")).collect()}
+        heads = partition.groupBy("cid").agg(F.min("node").alias("head")).join(stats.select("cid"), "cid")
         self.vol, self.g = {r["cid"]: r["vol"] for r in rows}, {r["cid"]: r["g"] for r in rows}
         self.near: dict = {c: {} for c in self.vol}
         for r in E.between(edges, partition).select("ci", "cj", F.col(f"m_{cut}").cast("double").alias("m")).collect():
             self.near[r["ci"]][r["cj"]] = self.near[r["cj"]][r["ci"]] = r["m"]
-        self.nodes = {c: members.get(c, [-2 - c]) for c in self.vol}
+        # Parts stand in the order of their nodes, which is that of their smallest ones; the nodes themselves stay in Spark.
+        self.head = {c: -2 - c for c in self.vol} | {r["cid"]: r["head"] for r in heads.collect()}
+        self.into = {c: c for c in self.vol}
+        self.partition = partition
         self.total = sum(self.vol.values())
-        self.order = sorted(self.vol, key=lambda c: self.nodes[c])
+        self.order = sorted(self.vol, key=self.head.get)
 
     def merge(self, a, b) -> None:
         """b joins a."""
@@ -50,7 +54,8 @@ class _Parts:
             self.near[a][c] = self.near[c][a] = self.near[a].get(c, 0.0) + x
         self.vol[a] += self.vol.pop(b)
         self.g[a] = self.g[a] + self.g.pop(b) - 2 * m
-        self.nodes[a] = sorted(self.nodes[a] + self.nodes.pop(b))
+        self.head[a] = min(self.head[a], self.head.pop(b))
+        self.into[b] = a
 
     def di(self) -> float:
         t = self.total
@@ -71,9 +76,16 @@ class _Parts:
         return rp(vi, gi) + rp(vj, gj) - rp(vij, gij)
 
     def table(self, spark) -> DataFrame:
-        """(node, cid): parts numbered by their sorted nodes."""
-        parts = sorted(self.nodes.values())
-        return spark.createDataFrame([(n, k) for k, p in enumerate(parts) for n in p], "node bigint, cid bigint")
+        """(node, cid): parts numbered by their smallest nodes."""
+        number = {c: k for k, c in enumerate(sorted(self.vol, key=self.head.get))}
+
+        def last(c):
+            while self.into[c] != c:
+                c = self.into[c]
+            return number[c]
+
+        moved = spark.createDataFrame([(c, last(c)) for c in self.into], "old bigint, new bigint")
+        return self.partition.join(moved, F.col("cid") == F.col("old")).select("node", F.col("new").alias("cid"))
 
 
 def greedy_steps(edges: DataFrame, prior: DataFrame | None = None, steps: int = 100, most_parts: int = MOST_PARTS) -> tuple[DataFrame, DataFrame]:
@@ -154,10 +166,7 @@ def merge_rounds(edges: DataFrame, prior: DataFrame | None = None, gain: str = "
 
 def labels(points: DataFrame, partition: DataFrame) -> DataFrame:
     """(id, label): label of the part, numbered from 0 by the smallest node of each; -1 for points in none."""
-    from pyspark.sql.window import Window as W
-
-    head = partition.groupBy("cid").agg(F.min("node").alias("head"))
-    head = head.withColumn("label", (F.row_number().over(W.orderBy("head")) - 1).cast("int"))
+    head = numbered(partition.groupBy("cid").agg(F.min("node").alias("head")), ["head"], "label").withColumn("label", F.col("label").cast("int"))
     p = partition.join(head, "cid").select(F.col("node").alias("id"), "label")
     return points.select("id").join(p, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from orrery.operators.components import connected_components
+from orrery.plans.numbering import numbered
 from orrery.plans.scratch import materialize
 
 NODE = "_id BIGINT, _lon DOUBLE, _lat DOUBLE"
@@ -52,10 +52,7 @@ def simplify(edges: DataFrame) -> DataFrame:
 def relabel(edges: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, map): nodes renumbered from 0 in the order given as (node, first). Numbers are dealt per range of the order, so no task sorts all."""
     o = order.groupBy("node").agg(F.min("first").alias("first"))
-    part = o.repartitionByRange("first", "node").sortWithinPartitions("first", "node").withColumn("p", F.spark_partition_id())
-    part = materialize(part, "relabel")
-    base = part.groupBy("p").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(W.orderBy("p")) - F.col("n")).select("p", "base")
-    m = part.withColumn("k", F.row_number().over(W.partitionBy("p").orderBy("first", "node")) - 1).join(F.broadcast(base), "p").select("node", (F.col("base") + F.col("k")).alias("label"))
+    m = numbered(o, ["first", "node"], "label").select("node", "label")
     e = edges.join(m.select(F.col("node").alias("u"), F.col("label").alias("nu")), "u").join(m.select(F.col("node").alias("v"), F.col("label").alias("nv")), "v")
     return e.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"), "w"), m
 
