@@ -141,6 +141,7 @@ _EXCHANGE = re.compile(rf"\b([A-ZÀ-Þ0][\w’-]+) ({_D}{{3,4}})(?=[.,;]? |[.,;]
 _TOP = r"(?:example|examp1e|test|tesf|invalid|inva1id|com|org|net|de|fr|es|uk)"
 _AT = r"(?:[@©®]| ?[(\[] ?[a@][tf]? ?[)\]] ?)"
 _EMAIL = re.compile(rf"(?<![\w.+-])[\w.+-]*\w(?:{_AT}[\w-]+(?:\.[\w-]+)*(?: ?\. ?{_TOP}\b|\.[A-Za-z]{{2,}})?| ?[@©®] ?[\w-]+(?:\.[\w-]+)*(?: ?\. ?{_TOP}\b|\.[A-Za-z]{{2,}})| [a@][tf] [\w-]+(?: d[o0][tf] [\w-]+)+)", re.I)
+_AT_SIGN = re.compile(r"[@©®]|[(\[] ?[a@][tf]? ?[)\]]|(?<= )[a@][tf] [\w-]+ d[o0][tf] ", re.I)
 _HOUSE = rf"(?:\d{_D}{{0,2}}|[OolISB]\d{_D}?)(?:[A-Za-z]\b|½| ?½)?"
 _PROPER = r"[A-ZÀ-Þ0-9][\w’'-]*"
 _EN_KIND = r"(?i:[s5ſ][tf]r?[ec]{1,2}[tf]|[s5ſ][tf]r[ec]+|[sſ5][tf]\.?|r[o0][aun]d|rd\.?|r[o0]w|[l1i][aun]n[ec]|[ec]r[ec][sſ5][ec]{2}n[tf]|[tf][ec]r{1,2}[aun][ec]{2}|[aun]v[ec]n[un][ec]|[aun]v[ec]\.?|[sſ5]qu[aun]r[ec])"
@@ -165,8 +166,20 @@ _PARTICLES = ("van", "von", "de la", "de los", "del", "de", "della", "di", "zu",
 _FOLD = str.maketrans({"1": "i", "l": "i", "|": "i", "!": "i", "0": "o", "5": "s", "9": "g", "8": "b", "ſ": "s", "c": "e", "u": "n", "a": "n", "r": "n", "h": "b", "f": "t", "ø": "o", "ß": "b", "6": "b"})
 
 
+_FOLDS: dict[str, str] = {}
+
+
 def _folded(word: str) -> str:
     """A word with signs that scans mistake for each other made equal."""
+    got = _FOLDS.get(word)
+    if got is None:
+        if len(_FOLDS) > 500_000:
+            _FOLDS.clear()
+        got = _FOLDS[word] = _fold(word)
+    return got
+
+
+def _fold(word: str) -> str:
     w = unicodedata.normalize("NFKD", word.lower().replace("ſ", "s").replace("ø", "o"))
     w = "".join(c for c in w if not unicodedata.combining(c))
     for a, b in (("rn", "m"), ("ri", "n"), ("rl", "n"), ("r1", "n"), ("vv", "w"), ("ii", "u")):
@@ -191,6 +204,17 @@ class Names:
         self.words = {"G": {_folded(w) for w in first}, "S": {_folded(w) for w in last}}
         self.less = {k: {x for w in v if len(w) > 4 for x in _less(w)} for k, v in self.words.items()}
         self.known: dict[str, str] = {}
+        self.ends = {w[k:] for v in self.words.values() for w in v for k in range(1, len(w) - 1)}
+        self.tails: dict[str, bool] = {}
+
+    def tail(self, word: str) -> bool:
+        """Whether a word may be the second piece of a name that a blank has broken."""
+        got = self.tails.get(word)
+        if got is None:
+            if len(self.tails) > 500_000:
+                self.tails.clear()
+            got = self.tails[word] = _folded(word) in self.ends
+        return got
 
     def kind(self, word: str) -> str:
         """'G', 'S', 'GS' or ''."""
@@ -217,6 +241,24 @@ _TOKEN = re.compile(r"[A-ZÀ-Þ0-9ſ][\w’ſ]*(?:-[A-ZÀ-Þ0-9][\w’ſ]*)*|l(?
 _WORD = re.compile(r"[\w’&-]+")
 
 
+#: Where a number may start: a digit, perhaps misread, a sign before it or the letters of a registry.
+_START = re.compile(r"[0-9(+]|[OolISB][0-9]|[QXTL](?=[QPZ0-9OolISB])")
+
+
+def _starts(t: str) -> list[int]:
+    """Places where numbers may start: not within words or other numbers."""
+    return [p for p in map(re.Match.start, _START.finditer(t)) if not p or not (t[p - 1].isalnum() or t[p - 1] == "_")]
+
+
+def _matches(rule: re.Pattern, t: str, starts: list[int]) -> Iterator[re.Match]:
+    """Matches of a rule at the starts, none within another."""
+    end = 0
+    for p in starts:
+        if p >= end and (m := rule.match(t, p)):
+            end = m.end()
+            yield m
+
+
 def _word_before(t: str, at: int) -> tuple[str, int]:
     """The word that ends before a place (without its point), and where it starts."""
     e = at
@@ -247,7 +289,7 @@ def _names(t: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[tuple
         if not k and len(w) > 1 and e + 1 < len(t) and t[e] == " " and t[e + 1].islower():
             # A word broken by a blank.
             n = _WORD.match(t, e + 1)
-            if n and len(n[0]) < 9:
+            if n and len(n[0]) < 9 and names.tail(n[0]):
                 k = names.kind(w + n[0]) if len(w) + len(n[0]) > 4 and not names.kind(n[0]) else ""
                 k = k if w + n[0] not in ("", w) and (_folded(w + n[0]) in names.words["G"] or _folded(w + n[0]) in names.words["S"]) else ""
                 e = n.end() if k else e
@@ -344,13 +386,25 @@ def find(text: str, boxes: dict[int, tuple[int, int]], names: Names) -> list[tup
             found.append((s, e, kind))
             taken.insert(bisect_right(taken, (s, e)), (s, e))
 
-    if "@" in t or "©" in t or "®" in t or "(a" in t or "[a" in t or " dot " in t or " d0t " in t:
-        for m in _EMAIL.finditer(t):
+    done = 0
+    for at_sign in _AT_SIGN.finditer(t):
+        # Rules run around the signs only. The longest local part comes first, whatever its length.
+        s = at_sign.start()
+        while s > done and not t[s - 1].isspace():
+            s -= 1
+        while s > done and t[s - 1] == " " and t[s : at_sign.start()].strip() == "":
+            s -= 1
+            while s > done and not t[s - 1].isspace():
+                s -= 1
+        m = _EMAIL.search(t, s)
+        if m and m.start() <= at_sign.start() < m.end():
             s, e = m.start(), m.end()
+            done = e
             if re.fullmatch(r"[\d.,]+.*", m[0]) and not re.search(r"[a-z]{3}", m[0][:12], re.I):
                 continue
             take(s, e, "email")
-    for m in _ID.finditer(t):
+    starts = _starts(t)
+    for m in _matches(_ID, t, starts):
         w = m[0]
         if sum(c.isdigit() for c in w) < 4:
             continue
@@ -363,15 +417,15 @@ def find(text: str, boxes: dict[int, tuple[int, int]], names: Names) -> list[tup
                 break
         if not thing:
             take(m.start(), m.end(), "idno")
-    for m in _PHONE.finditer(t):
+    for m in _matches(_PHONE, t, starts):
         if sum(c.isdigit() for c in m[0]) < 5:
             continue
         word, _ = _word_before(t, m.start())
         if word and _folded(word) in _THING_FOLDED:
             continue
         take(m.start(), m.end(), "phone")
-    for rule in (_FR, _ES, _DE, _EN):
-        for m in rule.finditer(t):
+    for found_at in (_matches(_FR, t, starts), _ES.finditer(t), _DE.finditer(t), _matches(_EN, t, starts)):
+        for m in found_at:
             take(m.start(), m.end(), "address")
     for m in _EXCHANGE.finditer(t):
         # Before an exchange word: a word that announces the number, or an address.
