@@ -132,7 +132,7 @@ IDS = (
 #: Words before numbers of things.
 THINGS = ("lot", "lots", "los", "lote", "order", "part", "stock", "teil", "bestellnummer", "commande", "pièce", "pedido", "pieza", "account", "konto", "compte", "cuenta", "circulation", "numbers", "saison", "season", "jahrgang", "temporada")
 #: Words before telephone numbers.
-CALLS = ("telephone", "ring", "at", "fernruf", "tel", "tél", "teléfono", "au", "lessons", "maid", "phone")
+CALLS = ("telephone", "bell", "day", "ring", "at", "fernruf", "tel", "tél", "teléfono", "au", "lessons", "maid", "phone")
 
 _ID = re.compile(r"(?<![\w.,/-])(?:" + "|".join(map(_digits, IDS)) + r")(?![\w/-]|\.\d| \d{2}\b)")
 _PHONE = re.compile(r"(?<![\w.,/+(-])(?<!\d )(?:" + "|".join(map(_digits, sorted(PHONES, key=len, reverse=True))) + r")(?![\w/]|[-.]\d| \d{2}\b(?! [A-Z]))")
@@ -274,10 +274,24 @@ def _word_before(t: str, at: int) -> tuple[str, int]:
 
 _TITLE_FOLDED = {_folded(x) for x in TITLES}
 _THING_FOLDED = {_folded(x) for x in THINGS}
+_LONG_THINGS = {x for x in _THING_FOLDED if len(x) > 4}
+_ABBREVIATIONS = {_folded(x) for x in ("no", "nr", "nº", "n", "núm", "num", "nu", "m")}
 _CALL_FOLDED = {_folded(x) for x in CALLS}
+#: Of these, those that stand right before the number.
+_DIRECT = {_folded(x) for x in ("bell", "day", "ring", "at", "au", "telephone", "fernruf", "teléfono", "phone")}
 _NOT_FOLDED = {_folded(x) for x in NOT_PERSONS}
 
 
+def _of_thing(t: str, at: int) -> bool:
+    """Whether the words before a number say that it is that of a thing. The word may be broken by a blank."""
+    words = [w for w in re.findall(r"[\w’]+", unicodedata.normalize("NFC", t[max(0, at - 30) : at])) if w]
+    while words and len(words[-1]) < 4 and _folded(words[-1]) in _ABBREVIATIONS:
+        words.pop()
+    if not words:
+        return False
+    return _folded(words[-1]) in _THING_FOLDED or (len(words) > 1 and _folded(words[-2] + words[-1]) in _LONG_THINGS)
+
+
 def _names(t: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     toks = []
     for m in _TOKEN.finditer(t):
@@ -408,22 +422,13 @@ def find(text: str, boxes: dict[int, tuple[int, int]], names: Names) -> list[tup
         w = m[0]
         if sum(c.isdigit() for c in w) < 4:
             continue
-        thing = False
-        p = m.start()
-        for _ in range(2):
-            word, p = _word_before(t, p)
-            thing = thing or (bool(word) and _folded(word) in _THING_FOLDED)
-            if word.lower() not in ("no", "nr", "nº", "n", "núm", "num", "nùm", "number", "n0", "no0", "nurn", "nr0") and len(word) > 3:
-                break
-        if not thing:
+        if not _of_thing(t, m.start()):
             take(m.start(), m.end(), "idno")
     for m in _matches(_PHONE, t, starts):
         if sum(c.isdigit() for c in m[0]) < 5:
             continue
-        word, _ = _word_before(t, m.start())
-        if word and _folded(word) in _THING_FOLDED:
-            continue
-        take(m.start(), m.end(), "phone")
+        if not _of_thing(t, m.start()):
+            take(m.start(), m.end(), "phone")
     for found_at in (_matches(_FR, t, starts), _ES.finditer(t), _DE.finditer(t), _matches(_EN, t, starts)):
         for m in found_at:
             take(m.start(), m.end(), "address")
@@ -436,9 +441,9 @@ def find(text: str, boxes: dict[int, tuple[int, int]], names: Names) -> list[tup
             words.insert(0, lead)
             s = ls
             lead, ls = _word_before(t, s)
-        called = lead and _folded(lead) in _CALL_FOLDED
+        called = lead and _folded(lead) in _CALL_FOLDED and (t[s - 2 : s - 1].isalnum() or _folded(lead) not in _DIRECT)
         p = bisect_right(taken, (s, 0)) - 1
-        beside = p >= 0 and taken[p][1] <= s and s - taken[p][1] <= 2 and t[taken[p][1] : s].strip() in (",", ".", "") and any(x[:2] == taken[p] and x[2] == "address" for x in found)
+        beside = p >= 0 and taken[p][1] <= s and s - taken[p][1] <= 2 and t[taken[p][1] : s].strip() in (",", "") and any(x[:2] == taken[p] and x[2] == "address" for x in found)
         if (called or beside) and not re.match(r"(?:Lots|Between|Hymn|Lot|Circulation|Licence|Apply|Insurance|Nach|Seit|Zwischen|Mit|Depuis|Par|Desde|Por|Not|From|Rain|Members|Der|Die|Das|La|Le|El)\b", words[0]):
             take(s, m.end(), "phone")
     for s, e in _names(t, names, taken):
