@@ -217,3 +217,48 @@ def gray_levels(edges: DataFrame, segments: int = 1) -> DataFrame:
 def lagged(ts: DataFrame) -> DataFrame:
     """(node, t, value, before): each value with the one before it."""
     return ts.withColumn("before", F.lag("value").over(W.partitionBy("node").orderBy("t")))
+
+
+def gray_colors(gray: DataFrame, breaks: dict[int, str]) -> DataFrame:
+    """(u, v, gray, color): the color of the largest break not above each gray level, null below all."""
+    color = F.lit(None).cast("string")
+    for at, name in sorted(breaks.items()):
+        color = F.when(F.col("gray") >= at, name).otherwise(color)
+    return gray.select("u", "v", "gray", color.alias("color"))
+
+
+def compare_graphs(true: DataFrame, others: dict[str, DataFrame], nodes: int) -> DataFrame:
+    """(name, metric, value): decoding information of the best partition of each graph, and its distances from the true one. All weights count as 1."""
+    from orrery.operators import entropy
+    from orrery.operators.partition import greedy
+
+    def plain(e: DataFrame) -> DataFrame:
+        return e.select("u", "v").distinct().withColumn("w", F.lit(1.0))
+
+    out: DataFrame | None = None
+    for name, e in {"true": true, **others}.items():
+        e = plain(e)
+        di = entropy.entropy_2d(e, greedy(e, "rate")).select(F.lit(name).alias("name"), F.lit("di").alias("metric"), F.col("di").alias("value"))
+        rows = [di] if out is None else [di, spectral_distance(plain(true), e, nodes).select(F.lit(name).alias("name"), F.explode(F.array(F.struct(F.lit("hamming").alias("metric"), F.col("hamming").alias("value")), F.struct(F.lit("combined").alias("metric"), F.col("combined").alias("value")))).alias("m")).select("name", "m.metric", "m.value")]
+        for r in rows:
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+#: Inverse least weights of each metric's graph, for the series of spin glass, branching and Ising dynamics on the ring of cliques.
+THRESHOLDS = {"euclidean": (62, 13.5, 31.5), "mahalanobis_pair": (2900, 130, 720), "minkowski3": (20, 5.6, 9.9), "manhattan": (2050, 185, 1025), "chebyshev": (2, 11, 1), "canberra": (1000, 1450, 1025)}
+
+
+def experiment(edges: DataFrame, nodes: int, metric: str, length: int = 2001, seed: int = 1) -> DataFrame:
+    """(name, metric, value): graphs rebuilt from simulated series of three dynamics by one metric, compared with the graph itself."""
+    from orrery.operators.graphs import clean_points, metric_graph
+    from orrery.plans.scratch import materialize
+
+    g = edges.withColumn("graph", F.lit(0).cast("bigint"))
+    others = {}
+    for model, inverse in zip(("spin_glass", "branching", "ising"), THRESHOLDS[metric]):
+        ts = materialize(clean_points(simulate(g, model, length, seed).select(F.col("node").alias("id"), "x")), "series")
+        found = materialize(metric_graph(ts, metric, 1 / inverse), "found")
+        if not found.isEmpty():
+            others[model] = found
+    return compare_graphs(edges, others, nodes)

@@ -77,3 +77,12 @@ def flow_partition(edges: DataFrame, prior: DataFrame | None = None, rounds: int
         if low is None or (now is not None and now < low - 1e-12):
             best, low = part, now
     return best
+
+
+def spectral(edges: DataFrame, k: int, rounds: int = 30, seed: int = 1) -> DataFrame:
+    """(id, cluster): power-iteration clustering, the scalable relative of spectral clustering; edges weigh as similarities."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    d = edges.where("u <> v").select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("weight"))
+    got = PowerIterationClustering(k=k, maxIter=rounds, weightCol="weight", initMode="degree").assignClusters(d)
+    return got.select("id", F.col("cluster").cast("bigint").alias("cluster"))

@@ -83,7 +83,7 @@ def _sweep(batches: Iterator[pd.DataFrame], metres: float) -> Iterator[pd.DataFr
         old = 0 if active is None else len(active)
         d = new if active is None else pd.concat([active, new], ignore_index=True)
         # A row lent to the segment in which it is at home anyway follows the one that is at home.
-        same = (d[["strip", "seg", "lon", "id", "wrap"]].to_numpy()[1:] == d[["strip", "seg", "lon", "id", "wrap"]].to_numpy()[:-1]).all(axis=1)
+        same = np.logical_and.reduce([(v := d[c].to_numpy())[1:] == v[:-1] for c in ("strip", "seg", "lon", "id", "wrap")])
         if same.any():
             d = d[np.concatenate([[True], ~same])].reset_index(drop=True)
         strip, seg, lon, lat, ids = (d[c].to_numpy() for c in ("strip", "seg", "lon", "lat", "id"))

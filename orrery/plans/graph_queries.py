@@ -291,3 +291,7 @@ _query("spectral_distance")(lambda s, d: rounded(dynamics.spectral_distance(dyna
 _query("generator_cliques", "WITH n AS (SELECT range AS c FROM range(6)), m AS (SELECT range AS a FROM range(5)) SELECT CAST(c * 5 + x.a AS BIGINT) AS u, CAST(c * 5 + y.a AS BIGINT) AS v, CAST(1 AS DOUBLE) AS w FROM n, m x, m y WHERE x.a < y.a UNION ALL SELECT CAST(least(c * 5 + 1, (c + 1) % 6 * 5) AS BIGINT), CAST(greatest(c * 5 + 1, (c + 1) % 6 * 5) AS BIGINT), 1.0 FROM n")(lambda s, d: dynamics.ring_of_cliques(s))
 _query("generator_grid", "WITH n AS (SELECT range AS i FROM range(30)) SELECT CAST(i AS BIGINT) AS u, CAST(i + 1 AS BIGINT) AS v, CAST(1 AS DOUBLE) AS w FROM n WHERE i % 5 < 4 UNION ALL SELECT CAST(i AS BIGINT), CAST(i + 5 AS BIGINT), 1.0 FROM n WHERE i < 25")(lambda s, d: dynamics.grid_graph(s))
 _query("matrix_to_gray", f"WITH {G}, r AS (SELECT min(w) AS lo, max(w) AS hi FROM trade) SELECT u, v, CAST(floor(floor((w - lo) / (hi - lo) * 255) / 16) * 16 AS INT) AS gray FROM trade, r")(lambda s, d: dynamics.gray_levels(trade(s, d)[0], 16))
+_query("gray_colors")(lambda s, d: dynamics.gray_colors(dynamics.gray_levels(trade(s, d)[0], 16), {0: "white", 64: "silver", 160: "black"}))
+_query("spectral_clusters")(lambda s, d: priors.spectral(near_graph(s, d), 6))
+_query("compare_graphs")(lambda s, d: rounded(dynamics.compare_graphs(dynamics.ring_of_cliques(s), {"grid": dynamics.grid_graph(s)}, 30)))
+_query("experiment_euclidean")(lambda s, d: rounded(dynamics.experiment(dynamics.ring_of_cliques(s), 30, "euclidean", 500)))

@@ -220,3 +220,18 @@ def test_dynamics(spark, rows):
     assert rows(dynamics.reciprocal(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "u long, v long"))) == [(1, 2)]
     long = spark.createDataFrame([(1, 0, 5.0), (1, 1, 6.0), (2, 0, 7.0)], "node long, t int, value double")
     assert rows(dynamics.series(long)) == [(1, [5.0, 6.0]), (2, [7.0])] and dynamics.lagged(long).where("before IS NULL").count() == 2
+
+
+def test_compare_store_and_spectral(spark, rows, tmp_path):
+    from orrery.sources import store
+
+    g, h = dynamics.ring_of_cliques(spark), dynamics.grid_graph(spark)
+    got = {(r["name"], r["metric"]): r["value"] for r in dynamics.compare_graphs(g, {"same": g, "grid": h}, 30).collect()}
+    assert got[("same", "hamming")] == 0 and got[("same", "di")] == got[("true", "di")] and got[("grid", "combined")] > 0
+    assert priors.spectral(g, 6).count() == 30
+    store.save(str(tmp_path), edges=g, partition=partition.singletons(g))
+    assert rows(store.load(spark, str(tmp_path), "edges")) == rows(g) and store.load(spark, str(tmp_path), "partition").count() == 30
+    with pytest.raises(ValueError):
+        store.save(str(tmp_path), other=g)
+    gray = spark.createDataFrame([(1, 2, 0), (1, 3, 255)], "u long, v long, gray int")
+    assert [r["color"] for r in dynamics.gray_colors(gray, {100: "black"}).orderBy("v").collect()] == [None, "black"]
