@@ -191,15 +191,24 @@ FROM both_ b JOIN alone USING (id) WHERE other IN (SELECT id FROM linked) OR oth
 _query("nearest_node", NEAR + " SELECT id, other, round(d, 6) AS d FROM (SELECT b.*, row_number() OVER (PARTITION BY b.id ORDER BY d, other) AS rk FROM both_ b JOIN alone USING (id) WHERE other IN (SELECT id FROM linked)) WHERE rk = 1")(
     lambda s, d: rounded(graphs.nearest_of(graphs.isolated(vectors(s, d), near_graph(s, d)), vectors(s, d).join(graphs.isolated(vectors(s, d), near_graph(s, d)).select("id"), "id", "left_anti")))
 )
-REACH = ", reach(node, root) AS (SELECT u, u FROM {e} UNION SELECT v, v FROM {e} UNION SELECT CASE WHEN e.u = r.node THEN e.v ELSE e.u END, r.root FROM reach r JOIN {e} e ON e.u = r.node OR e.v = r.node)"
-_query("components")(lambda s, d: connected_components(near_graph(s, d)))
-_query("shp_components")(lambda s, d: connected_components(shp(s, d)[0]))
-_query("bridge_one_round")(lambda s, d: rounded(graphs.bridge_round(vectors(s, d), near_graph(s, d))))
+REACH = ", arcs AS (SELECT u AS a, v AS b FROM {e} UNION SELECT v, u FROM {e} UNION SELECT u, u FROM {e} UNION SELECT v, v FROM {e}), reach(node, root) AS (SELECT a, a FROM arcs UNION SELECT b, root FROM reach JOIN arcs ON node = a AND root < b), comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_query("components", _recursive(NEAR) + REACH.format(e="e") + " SELECT node, component FROM comp")(lambda s, d: connected_components(near_graph(s, d)))
+_query("shp_components", _recursive(f"WITH {G}") + REACH.format(e="shp") + " SELECT node, component FROM comp")(lambda s, d: connected_components(shp(s, d)[0]))
+_query("bridge_one_round", _recursive(NEAR) + REACH.format(e="(SELECT u, v FROM e UNION ALL SELECT id, id FROM p)") + """, out_ AS (SELECT a.component AS c, least(b.id, b.other) AS u, greatest(b.id, b.other) AS v, d FROM both_ b JOIN comp a ON a.node = b.id JOIN comp o ON o.node = b.other WHERE a.component <> o.component)
+SELECT DISTINCT u, v, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY d, u, v) AS rk FROM out_) WHERE rk = 1""")(lambda s, d: rounded(graphs.bridge_round(vectors(s, d), near_graph(s, d))))
 _query("bridge_all")(lambda s, d: rounded(graphs.bridge(vectors(s, d), near_graph(s, d))))
 CORE = E_SQL + ", near_ AS (SELECT u, v FROM vals WHERE d <= 1.22), both_ AS (SELECT u AS id, v AS o FROM near_ UNION ALL SELECT v, u FROM near_), core AS (SELECT id FROM both_ GROUP BY id HAVING count(*) + 1 >= 12)"
 _query("dbscan_core", CORE + " SELECT id FROM core")(lambda s, d: graphs.radius_pairs(vectors(s, d), 1.22).select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n + 1 >= 12").select("id"))
-_query("dbscan")(lambda s, d: priors.dbscan(vectors(s, d), graphs.radius_pairs(vectors(s, d), 1.22), 12))
-_query("dbscan_partition")(lambda s, d: priors.as_partition(priors.dbscan(vectors(s, d), graphs.radius_pairs(vectors(s, d), 1.22), 12)))
+DENSE = _recursive(CORE) + ", linked AS (SELECT u, v FROM near_ WHERE u IN (SELECT id FROM core) AND v IN (SELECT id FROM core) UNION ALL SELECT id, id FROM core)" + REACH.format(e="linked") + """, border AS (SELECT id, min(component) AS cluster FROM both_ JOIN comp ON o = node WHERE id NOT IN (SELECT id FROM core) GROUP BY id), got AS (SELECT node AS id, component AS cluster FROM comp UNION ALL SELECT * FROM border),
+dense AS (SELECT p.id, cluster FROM p LEFT JOIN got USING (id))"""
+_query("dbscan", DENSE + " SELECT id, cluster FROM dense")(lambda s, d: priors.dbscan(vectors(s, d), graphs.radius_pairs(vectors(s, d), 1.22), 12))
+_query("dbscan_partition", DENSE + " SELECT id AS node, coalesce(cluster, -2 - id) AS cid FROM dense")(lambda s, d: priors.as_partition(priors.dbscan(vectors(s, d), graphs.radius_pairs(vectors(s, d), 1.22), 12)))
 _query("dbscan_places")(lambda s, d: priors.dbscan(places(table(s, d, "x_shp")), spatial.near_pairs(places(table(s, d, "x_shp")), 60.0).select(F.col("id_a").alias("u"), F.col("id_b").alias("v")), 5))
 _query("kmeans")(lambda s, d: priors.kmeans(vectors(s, d), 10))
 
