@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import clusters, mixing, pii, similar, tokens
 from orrery.plans.scratch import materialize
+from orrery.plans.general_queries import PLACES_SQL
 from orrery.sources.tables import in_force, places, table
 
 
@@ -79,5 +80,18 @@ def p8_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_replaced, p8_collisions)}
-#: Where SQL can say it: texts come back as they were; null texts as the empty text.
-SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+_STEPS = f"""WITH RECURSIVE {PLACES_SQL}, near AS (SELECT a.id AS a, b.id AS b FROM places a JOIN places b ON b.lat BETWEEN a.lat - 0.0006 AND a.lat + 0.0006
+  WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 60),
+reach(node, root) AS (SELECT a, a FROM near UNION SELECT b, root FROM reach JOIN near ON node = a AND root < b), comp AS (SELECT node, min(root) AS cluster_id FROM reach GROUP BY node)"""
+#: Where SQL can say it. Texts come back as they were, null ones as the empty text.
+SQL = {
+    "p1_found": _STEPS + " SELECT node AS id, cluster_id FROM comp WHERE cluster_id IN (SELECT cluster_id FROM comp GROUP BY cluster_id HAVING count(*) >= 5)",
+    "p2_found": """WITH latest AS (SELECT DISTINCT id, x FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS rk FROM points WHERE id IS NOT NULL) WHERE rk = 1),
+ok AS (SELECT id, x FROM latest WHERE len(x) = 48 AND len(list_filter(x, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+unit AS (SELECT id, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda f: f * f)))) AS x FROM ok),
+pairs AS (SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.x, b.x), lambda t: t[1] * t[2])), 12) AS s FROM unit a JOIN unit b ON a.id < b.id),
+both_ AS (SELECT a, b, s FROM pairs WHERE s >= 0.9 UNION ALL SELECT b, a, s FROM pairs WHERE s >= 0.9),
+best AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rk FROM both_) WHERE rk <= 5)
+SELECT x.a AS id_a, x.b AS id_b FROM best x JOIN best y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
