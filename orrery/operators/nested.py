@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.plans.scratch import materialize
 
-MAX_DEPTH = 200
+MAX_DEPTH = 1000
 
 
 def _bare(key: str) -> str:
@@ -31,12 +31,16 @@ def _number(v: str) -> Column:
     return F.expr(f"try_cast(try_cast(trim(try_variant_get({v}, '$', 'string')) as decimal(38,6)) as bigint)")
 
 
+def _holds(v: str, what: str) -> str:
+    """SQL: whether a variant is an object or a list, without going further into it."""
+    return f"try_variant_get({v}, '$', '{'map<string,variant>' if what == 'object' else 'array<variant>'}') IS NOT NULL"
+
+
 def _opened(v: str) -> Column:
     """A variant, or what its text holds where that is the text of a list or an object."""
     text = f"try_variant_get({v}, '$', 'string')"
     inner = f"CASE WHEN {text} RLIKE '^\\\\s*[\\\\[{{]' THEN try_parse_json({text}) END"
-    # of a list or object, the text is its own JSON: parse only texts
-    return F.expr(f"CASE WHEN schema_of_variant({v}) = 'STRING' THEN coalesce({inner}, {v}) ELSE {v} END")
+    return F.expr(f"CASE WHEN {_holds(v, 'object')} OR {_holds(v, 'list')} THEN {v} ELSE coalesce({inner}, {v}) END")
 
 
 def merged_schema(payload: DataFrame, column: str = "payload") -> DataFrame:
@@ -72,10 +76,19 @@ def tree(records: DataFrame, key: str = "rec_id", payload: str = "payload", skip
         inner = level.select("rec_id", "path", F.coalesce("id", "above_id").alias("above_id"), "v").lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
         inner = inner.select("rec_id", F.col("path").alias("parent_path"), F.col("key").alias("field"), F.col("pos").alias("ordinal"), "above_id", _opened("value").alias("v"))
         inner = inner.where(F.expr(f"field IS NULL OR {_bare('field')} NOT IN ({skipped})"))
-        inner = inner.where(F.expr("schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'"))
-        frontier = inner.withColumn("path", F.concat_ws("/", "parent_path", F.coalesce("field", F.col("ordinal").cast("string"))))
+        # A list is exploded along with the object that holds it: its entries are that object's children.
+        place = F.coalesce("field", F.col("ordinal").cast("string"))
+        lists = F.expr("coalesce(try_variant_get(v, '$', 'array<variant>'), array(v))")
+        inner = inner.withColumn("in_list", F.expr(_holds("v", "list"))).select("*", place.alias("place"), F.posexplode(lists).alias("k", "entry"))
+        inner = inner.select(
+            "rec_id", "parent_path", "field", F.when(F.col("in_list"), F.col("k")).otherwise(F.col("ordinal")).alias("ordinal"), "above_id", _opened("entry").alias("v"),
+            F.concat_ws("/", "parent_path", "place", F.when(F.col("in_list"), F.col("k").cast("string"))).alias("path"),
+        )
+        frontier = inner.where(F.expr(f"{_holds('v', 'object')} OR {_holds('v', 'list')}"))
         if level.isEmpty():
             break
+    else:
+        raise ValueError(f"records are nested deeper than {MAX_DEPTH} levels")
     return reduce(DataFrame.unionByName, levels)
 
 
