@@ -1,8 +1,8 @@
 """Encoding of whole corpora with a public byte-level BPE tokenizer, by Spark's higher-order functions.
 
 Texts are cut into words by the tokenizer's pattern. Words that are tokens as a whole are looked up at once. All others are encoded once per
-distinct word of the corpus, folding the ranked merges over the word's bytes, and put back by a join on the word; within a
-document each of them counts once. The ranks are a literal of the plan: buckets of small maps, as long as the vocabulary, whose size is fixed.
+distinct word of the corpus, folding the ranked merges over the word's bytes, and put back: a fixed number of the most frequent ones by a literal, the
+rest by a join on the word; within a document each of them counts once. The ranks are a literal of the plan: buckets of small maps, as long as the vocabulary, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from orrery.plans.scratch import materialize
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Unicode's white space, which Java's \s doesn't name. The pattern is that of the tokenizer's public description.
 _S = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+PATTERN = rf" ?\p{{L}}++| ?\p{{N}}++|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}\p{{L}}\p{{N}}]++|[{_S}]+(?![^{_S}])|[{_S}]+"
 _BUCKETS = 16384
+#: The most frequent words of the corpus that are no tokens: so many are put back by a literal instead of the join, which also takes the skew out of it.
+FREQUENT = 4096
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -44,12 +46,12 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _literal(entries: dict[str, int], keys: dict[str, bytes]) -> Column:
-    """array<map<string,int>>: entries by the checksum of their bytes. It is folded to one literal when the plan is optimized."""
-    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+def _literal(entries: dict, keys: dict[str, bytes], kind: str = "int") -> Column:
+    """array<map<string,kind>>: entries by the checksum of their bytes. It is folded to one literal when the plan is optimized."""
+    buckets: list[dict] = [{} for _ in range(_BUCKETS)]
     for k, n in entries.items():
         buckets[zlib.crc32(keys[k]) % _BUCKETS][k] = n
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
 
 
 def _words(path: str) -> Column:
@@ -116,10 +118,18 @@ def encode(documents: DataFrame, path: str | None = None, key: str = "doc_id", t
     # Ids, or minus the place of a word among the document's other words.
     d = materialize(d.select(F.monotonically_increasing_id().alias("row"), "k", known.alias("c"), "o"), "tokens")
     other = d.where(F.size("o") > 0).select("row", F.posexplode("o").alias("at", "w"))
-    book = other.select("w").distinct().select("w", merge(F.col("w"), path).alias("ids"))
-    found = other.join(book, "w").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("m"))
-    ids = F.flatten(F.transform("c", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(F.col("m"), -c - 1)["ids"])))
-    return d.join(found, "row", "left").select(F.col("k").alias(key), ids.alias("ids"))
+    book = other.groupBy("w").agg(F.count("*").alias("n"))
+    book = materialize(book.select("w", "n", merge(F.col("w"), path).alias("ids")), "token-book")
+    # A fixed number of words; all others are joined.
+    frequent = {r["w"]: list(r["ids"]) for r in book.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()}
+    table = _literal(frequent, {w: w.encode() for w in frequent}, "array<int>")
+    rare = other.withColumn("f", F.transform(F.array(table), lambda t: look(t)(F.col("w")))[0]).where(F.col("f").isNull()).drop("f")
+    found = rare.join(book.select("w", "ids"), "w").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "ids"))).alias("m"))
+    joined = d.join(found, "row", "left")
+    full = F.transform(F.array(table), lambda t: F.transform("o", lambda w, at: F.coalesce(look(t)(w), F.try_element_at("m", at))))[0]
+    # Bound to a variable, so that it is worked out once per document and not per word.
+    ids = F.transform(F.array(full), lambda f: F.flatten(F.transform("c", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(f, -c - 1)))))[0]
+    return joined.select(F.col("k").alias(key), ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
