@@ -14,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 #: Blocks of a source's shuffled order whose sums are carried on, as a power of two.
 BLOCK_BITS = 12
+#: Copies of a row that are told apart at once.
+STRIDE = 10_000
 
 
 def source_name(c: Column) -> Column:
@@ -86,12 +88,18 @@ def mix(documents: DataFrame, mix_target: DataFrame, total: float | None = None,
     sizes = d.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     plan = curriculum(shares(sizes.where("source IS NOT NULL"), targets(mix_target), total), strength)
     # Shuffled order: blocks of hashes; sums of blocks are carried on, so no source is ever sorted as a whole.
-    d = d.where("source IS NOT NULL AND n_tokens > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("block", F.shiftrightunsigned("h", 64 - BLOCK_BITS))
-    sums = d.groupBy("source", "block").agg(F.sum("n_tokens").alias("s"))
+    # Copied rows stand next to each other in it, so they are one row with a count until the end.
+    d = d.where("source IS NOT NULL AND n_tokens > 0").groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("c")).withColumn("size", F.col("c") * F.col("n_tokens"))
+    d = d.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "n_tokens")).withColumn("block", F.shiftrightunsigned("h", 64 - BLOCK_BITS))
+    sums = d.groupBy("source", "block").agg(F.sum("size").alias("s"))
     carried = sums.select("source", "block", (F.sum("s").over(W.partitionBy("source").orderBy("block")) - F.col("s")).alias("carried"))
     inner = W.partitionBy("source", "block").orderBy("h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    placed = d.withColumn("end", F.sum("n_tokens").over(inner)).join(carried, ["source", "block"])
-    placed = placed.join(plan.select("source", F.col("tokens").alias("all"), "planned", "slope").where("planned > 0"), "source").withColumn("end", F.col("end") + F.col("carried"))
+    placed = d.withColumn("start", F.sum("size").over(inner) - F.col("size")).join(carried, ["source", "block"])
+    placed = placed.join(plan.select("source", F.col("tokens").alias("all"), "planned", "slope").where("planned > 0"), "source").withColumn("start", F.col("start") + F.col("carried"))
+    # Copies one by one, in two steps, so that no array is longer than STRIDE.
+    placed = placed.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1, F.lit(STRIDE).cast("bigint"))))
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("c"), F.col("from") + STRIDE) - 1)))
+    placed = placed.withColumn("end", F.col("start") + (F.col("copy") + 1) * F.col("n_tokens"))
     # Uses whose last token is within the plan: one per repetition of the source.
     uses = F.floor((F.col("planned") * (1 + 1e-12) - F.col("end")) / F.col("all")) + 1
     used = placed.withColumn("uses", uses).where("uses > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("uses") - 1)))

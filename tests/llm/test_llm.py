@@ -178,6 +178,9 @@ def test_mixture(spark):
         for now in (0.25, 0.5, 0.75):
             given = sum(r["n_tokens"] for r in rows if r["source"] == s and r["due"] <= now)
             assert abs(given / plan[s] - (now + slope * (now * now - now))) < 60 / plan[s]
+    # One row repeated beyond a stride: every copy is a document of its own.
+    same = spark.range(25_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("big").alias("source"), F.lit(3).cast("bigint").alias("n_tokens"))
+    assert mixing.mix(same, t)[0].count() == 25_000
     empty, report = mixing.mix(d.limit(0), t)
     assert empty.count() == 0 and report.count() == 3
     assert mixing.mix(d, t.limit(0))[0].count() == 0
