@@ -3,7 +3,7 @@
 Unit vectors are rotated by sign flips and fast Hadamard transforms; a hash is the signed axis that comes out largest. Several hashes make
 the bucket of a table. Every vector stands in its own bucket of each table and asks in the buckets that its next-best axes give.
 Crowded buckets are divided by further hashes, as often as they need it: what is near stays together there, since a crowd
-has nearer neighbours. Within a bucket quantized vectors give each asker its best few; these are ranked by the exact cosine.
+has nearer neighbours. Within a bucket each asker gets its best by the exact cosine, so that near-copies never crowd each other out.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from orrery.plans.scratch import materialize
 
 #: Hashes that a table has at most, vectors that a bucket has at most unless they agree in all of them, rows compared at once.
 DEEPEST, BUCKET, BLOCK = 6, 1_000, 512
+#: Similarities are rounded to multiples of 1 / ONE.
+ONE = 1e12
 
 
 def usable(x: Column, dims: int) -> Column:
@@ -89,10 +91,10 @@ def _rows(batches: Iterator[pa.RecordBatch], dims: int, tables: int, depth: int,
             if not part.num_rows:
                 continue
             n = part.num_rows
+            exact = part.column("unit").flatten().to_numpy().reshape(n, dims)
             x = np.zeros((n, width), np.float32)
-            x[:, :dims] = part.column("unit").flatten().to_numpy().reshape(n, dims)
-            packed = np.rint(x[:, :dims] * 32767).astype("<i2")
-            vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dims), n, [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+            x[:, :dims] = exact
+            vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * dims), n, [None, pa.py_buffer(exact.astype("<f8").tobytes())]).cast(pa.binary())
             for t in range(tables):
                 own, codes = _codes(x, signs[t], depth, probes)
                 tail = np.zeros((n, DEEPEST), np.uint8)
@@ -105,39 +107,52 @@ def _rows(batches: Iterator[pa.RecordBatch], dims: int, tables: int, depth: int,
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), rest, part.column("id"), pa.array(np.full(n, p == 0)), vec], names=["bucket", "rest", "id", "home", "vec"])
 
 
-def _best(ids: np.ndarray, home: np.ndarray, x: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of one bucket: for each row (asker) its `keep` most similar homes, as (asker id, id)."""
+def _best(ids: np.ndarray, home: np.ndarray, x: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket: for each row (asker) its `keep` most similar homes, equal ones by smaller id, as (asker id, id, similarity)."""
     here = np.nonzero(home)[0]
-    out_a, out_b = [], []
-    if len(here):
-        y, yi = x[here], ids[here]
-        for a in range(0, len(ids), BLOCK):
-            best_s = np.full((min(BLOCK, len(ids) - a), 0), 0, np.float32)
-            best_i = np.zeros(best_s.shape, np.int64)
-            for b in range(0, len(here), 4 * BLOCK):
-                s = x[a : a + BLOCK] @ y[b : b + 4 * BLOCK].T
-                i = np.broadcast_to(yi[b : b + 4 * BLOCK], s.shape)
-                s = np.where(i == ids[a : a + BLOCK, None], -2, s)
-                best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, i], 1)
-                if best_s.shape[1] > keep:
-                    # Ties at the end of the list go to smaller ids, as quantized values tie more often than exact ones.
-                    order = np.lexsort((best_i, -best_s), axis=1)[:, :keep] if best_s.shape[1] <= 64 else _top(best_s, best_i, keep)
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            row, col = np.nonzero(best_s >= least)
-            out_a.append(ids[a : a + BLOCK][row])
-            out_b.append(best_i[row, col])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _top(s: np.ndarray, i: np.ndarray, keep: int) -> np.ndarray:
-    """Columns of the `keep` largest values of each row; of equal ones those with the smallest ids."""
+    here = here[np.argsort(ids[here], kind="stable")]
+    y, yi = x[here], ids[here]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(ids) if len(here) else 0, BLOCK):
+        xa = x[a : a + BLOCK]
+        best_s, best_i = np.full((len(xa), 0), 0.0), np.zeros((len(xa), 0), np.int64)
+        for b in range(0, len(here), 4 * BLOCK):
+            yb = y[b : b + 4 * BLOCK]
+            s = xa @ yb.T
+            i = np.broadcast_to(yi[b : b + 4 * BLOCK], s.shape)
+            s[i == ids[a : a + BLOCK, None]] = -2
+            both = np.concatenate([best_s, s], 1)
+            # Only what rounding can bring among the best is summed up exactly.
+            cut = np.full((len(xa), 1), least) if both.shape[1] <= keep else np.maximum(-np.partition(-both, keep - 1, axis=1)[:, keep - 1 : keep], least)
+            row, col = np.nonzero(s >= cut - 2 / ONE)
+            exact = _rounded(s[row, col], xa, yb, row, col)
+            s = np.full(s.shape, -2.0)
+            s[row, col] = exact
+            best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, i], 1)
+            if best_s.shape[1] > keep:
+                top = _top(best_s, keep)
+                best_s, best_i = np.take_along_axis(best_s, top, 1), np.take_along_axis(best_i, top, 1)
+        row, col = np.nonzero(best_s >= least)
+        out.append((ids[a : a + BLOCK][row], best_i[row, col], best_s[row, col]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _rounded(s: np.ndarray, x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Products s of x[row] and y[col], rounded to 12 digits as their sums in the order of the dimensions: a product's error is at most 2 n u, so only those near a half need that sum."""
+    v = s * ONE
+    close = np.nonzero(np.abs(v - np.floor(v) - 0.5) <= (x.shape[1] + 4) * 2.3e-16 * ONE + 1e-3)[0]
+    p, q, t = row[close], col[close], np.zeros(len(close))
+    for j in range(x.shape[1]):
+        t += x[p, j] * y[q, j]
+    v[close] = t * ONE
+    return np.floor(v + 0.5) / ONE
+
+
+def _top(s: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the `keep` largest values of each row, in order of columns; of equal ones the first."""
     cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
-    over = s > cut
-    tie = s == cut
-    room = keep - over.sum(1)
-    if (tie.sum(1) == room).all():
-        return np.argsort(~(over | tie), axis=1, kind="stable")[:, :keep]
-    return np.lexsort((i, -s), axis=1)[:, :keep]
+    over, tie = s > cut, s == cut
+    return np.nonzero(over | (tie & (np.cumsum(tie, 1) <= keep - over.sum(1, keepdims=True))))[1].reshape(len(s), keep)
 
 
 def _bytes(a: pa.BinaryArray) -> bytes:
@@ -154,13 +169,13 @@ def _search(batches: Iterator[pa.RecordBatch], dims: int, keep: int, least: floa
 
     def solve(t: pa.Table) -> pa.RecordBatch | None:
         ids, home = t.column("id").to_numpy(), t.column("home").to_numpy()
-        x = np.frombuffer(b"".join(map(_bytes, t.column("vec").chunks)), "<i2").reshape(len(ids), dims).astype(np.float32) / 32767
+        x = np.frombuffer(b"".join(map(_bytes, t.column("vec").chunks)), "<f8").reshape(len(ids), dims)
         group = t.column("g").to_numpy()
         cuts = np.concatenate([[0], np.nonzero(group[1:] != group[:-1])[0] + 1, [len(group)]])
         got = [_best(ids[a:b], home[a:b], x[a:b], keep, least) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
         if not got:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], names=["id", "other"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], names=["id", "other", "similarity"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -200,12 +215,9 @@ def similar(vectors: DataFrame, dims: int, k: int = 5, least: float = -1.0, tabl
     rows = _divide(rows, depth)
     parts = max(int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     rows = rows.repartition(parts, "g").sortWithinPartitions("g")
-    keep = k + 3
-    found = rows.mapInArrow(lambda it: _search(it, dims, keep, least - 1e-3), "id bigint, other bigint")
-    found = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
-    a, b = v.select("id", F.col("unit").alias("ua")), v.select(F.col("id").alias("other"), F.col("unit").alias("ub"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    exact = found.join(a, "id").join(b, "other").select("id", "other", F.round(dot, 12).alias("similarity")).where(F.col("similarity") >= least)
+    found = rows.mapInArrow(lambda it: _search(it, dims, k, least), "id bigint, other bigint, similarity double")
+    # The same pair has the same similarity from either side and in every bucket.
+    exact = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "similarity")).distinct()
     ranked = exact.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other")))
     ranked = ranked.where(F.col("rank") <= k)
     if not copies:

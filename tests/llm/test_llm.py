@@ -103,6 +103,15 @@ def test_copies_of_a_vector(spark):
     assert all(len(set(v)) == len(v) for v in got.values()) and all(k in got for k in range(100, 160))
 
 
+def test_near_copies_of_a_vector(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(scale=noise, size=(200, 48)) for c, noise in zip(rng.normal(size=(3, 48)), (1e-3, 1e-5, 1e-7))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = {(r["id"], r["other"]) for r in similar.similar(d, 48, 5, 0.9).collect()}
+    want = _best(x, 5, 0.9)
+    assert len(got & want) >= 0.99 * len(want)
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 64)).astype(np.float32)
     y = similar._hadamard(x)
