@@ -1,7 +1,8 @@
 """Partitions that decode most information: greedy merging of parts.
 
 Spark contracts the graph to its parts: volume, cut and edges between parts. The queue algorithms are sequential by definition and work on these sums on the
-driver; they refuse more than `most_parts` of them. merge_rounds() is the form for any size: in each round, parts choose their best neighbour, mutual choices merge.
+driver; they refuse more than `most_parts` of them. merge_rounds() is the form for any size: in each round, parts choose their best neighbour, mutual choices merge and
+those that choose one of the two join them.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from orrery.operators import entropy as E
 from orrery.plans.numbering import numbered
-from orrery.plans.scratch import materialize
+from orrery.plans.scratch import drop_table, write_table
 
 MOST_PARTS = 20_000
 
@@ -133,34 +135,62 @@ def greedy(edges: DataFrame, gain: str = "di", prior: DataFrame | None = None, m
     return p.table(edges.sparkSession)
 
 
-def merge_rounds(edges: DataFrame, prior: DataFrame | None = None, gain: str = "di", max_rounds: int = 40) -> DataFrame:
+def merge_rounds(edges: DataFrame, prior: DataFrame | None = None, gain: str = "di", max_rounds: int | None = None) -> DataFrame:
     """(node, cid): distributed greedy merging. Every part chooses the neighbour with which merging gains most (equal ones: smaller number); parts that choose each
-    other merge. Each round works on the contracted graph only, and ends when no part gains."""
+    other merge, and those that choose one of the two join them, best first, as long as joining what has grown so far still gains and no less than their next choice.
+    Each round works on the contracted graph only; it ends when no part gains, as every round merges some. Raises if that takes more than max_rounds."""
     f, cut = E.GAINS[gain]
     sign = -1 if gain == "entropy" else 1
-    part = materialize(prior if prior is not None else singletons(edges), "merge-part")
-    stats = materialize(E.part_stats(edges, part).select("cid", "vol", F.col(f"cut_{cut}").cast("double").alias("g")), "merge-stats")
-    near = materialize(E.between(edges, part).select("ci", "cj", F.col(f"m_{cut}").cast("double").alias("m")), "merge-near")
+    spark, used = edges.sparkSession, []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        used.append(write_table(df, name))
+        return spark.read.schema(df.schema).parquet(used[-1])
+
+    part = keep(prior if prior is not None else singletons(edges), "merge-part")
+    stats = keep(E.part_stats(edges, part).select("cid", "vol", F.col(f"cut_{cut}").cast("double").alias("g")), "merge-stats")
+    near = keep(E.between(edges, part).select("ci", "cj", F.col(f"m_{cut}").cast("double").alias("m")), "merge-near")
     total = stats.agg(F.sum("vol")).first()[0] or 0.0
-    for _ in range(max_rounds):
+    delta = lambda vi, vj, gi, gj, m: sign * f(*[F.col(c) for c in (vi, vj, gi, gj, m)], F.lit(total))
+    rounds = 0
+    while True:
+        old = list(used)
         a = stats.select(F.col("cid").alias("ci"), F.col("vol").alias("vi"), F.col("g").alias("gi"))
         b = stats.select(F.col("cid").alias("cj"), F.col("vol").alias("vj"), F.col("g").alias("gj"))
-        cand = near.join(a, "ci").join(b, "cj")
-        delta = sign * f(*[F.col(c) for c in ("vi", "vj", "gi", "gj", "m")], F.lit(total))
-        cand = cand.select("ci", "cj", delta.alias("d")).where(F.col("d") < -1e-12)
-        both = cand.select("ci", "cj", "d").unionByName(cand.select(F.col("cj").alias("ci"), F.col("ci").alias("cj"), "d"))
-        pick = both.groupBy("ci").agg(F.min(F.struct("d", "cj")).alias("m")).select(F.col("ci").alias("me"), F.col("m.cj").alias("you"))
-        mutual = pick.join(pick.select(F.col("me").alias("you"), F.col("you").alias("me")), ["me", "you"]).where("me < you")
-        move = materialize(mutual.select(F.col("you").alias("old"), F.col("me").alias("new")), "merge-move")
+        cand = near.join(a, "ci").join(b, "cj").withColumn("d", delta("vi", "vj", "gi", "gj", "m")).where("d < -1e-12")
+        both = cand.selectExpr("ci AS me", "cj AS you", "d", "vi AS v", "gi AS g", "m").unionByName(cand.selectExpr("cj AS me", "ci AS you", "d", "vj AS v", "gj AS g", "m"))
+        both = keep(both, "merge-gains")
+        pick = keep(both.groupBy("me").agg(F.min(F.struct("d", "you", "v", "g", "m")).alias("p")).select("me", "p.*"), "merge-pick")
+        mutual = pick.join(pick.selectExpr("me AS you", "you AS me", "v AS vy", "g AS gy"), ["me", "you"]).where("me < you")
+        mutual = mutual.select(F.col("me").alias("hub"), F.col("you").alias("mate"), (F.col("v") + F.col("vy")).alias("vh"), (F.col("g") + F.col("gy") - 2 * F.col("m")).alias("gh"))
+        ends = mutual.withColumn("you", F.explode(F.array("hub", "mate")))
+        more = pick.join(ends, "you").where("me <> hub AND me <> mate")
+        other = both.join(more.select("me", "hub", "mate"), "me").where("you <> hub AND you <> mate").groupBy("me").agg(F.min("d").alias("second"))
+        # Edges between those that join are left out here, which can only make a gain look smaller.
+        w = W.partitionBy("hub").orderBy("d", "me")
+        before = w.rowsBetween(W.unboundedPreceding, -1)
+        more = more.join(other, "me", "left").select(
+            "hub", "me", "d", "v", "g", "m", "second", (F.col("vh") + F.coalesce(F.sum("v").over(before), F.lit(0.0))).alias("vs"),
+            (F.col("gh") + F.coalesce(F.sum(F.col("g") - 2 * F.col("m")).over(before), F.lit(0.0))).alias("gs"),
+        ).withColumn("now", delta("vs", "v", "gs", "g", "m"))
+        lost = F.sum(F.expr("if(now < -1e-12 AND now <= coalesce(second, 0), 0, 1)")).over(w.rowsBetween(W.unboundedPreceding, 0))
+        joined = more.withColumn("lost", lost).where("lost = 0").select(F.col("me").alias("old"), F.col("hub").alias("new"))
+        move = keep(mutual.select(F.col("mate").alias("old"), F.col("hub").alias("new")).unionByName(joined), "merge-move")
         if move.isEmpty():
             break
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"parts still gain after {max_rounds} rounds")
         to = lambda d, c: d.join(move.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
-        part = materialize(to(part, "cid"), "merge-part")
+        part = keep(to(part, "cid"), "merge-part")
         inner = to(to(near, "ci"), "cj").where("ci = cj").groupBy(F.col("ci").alias("cid")).agg((2 * F.sum("m")).alias("inner"))
         stats = to(stats, "cid").groupBy("cid").agg(F.sum("vol").alias("vol"), F.sum("g").alias("g")).join(inner, "cid", "left")
-        stats = materialize(stats.select("cid", "vol", (F.col("g") - F.coalesce("inner", F.lit(0.0))).alias("g")), "merge-stats")
+        stats = keep(stats.select("cid", "vol", (F.col("g") - F.coalesce("inner", F.lit(0.0))).alias("g")), "merge-stats")
         near = to(to(near, "ci"), "cj").where("ci <> cj").groupBy(F.least("ci", "cj").alias("ci"), F.greatest("ci", "cj").alias("cj")).agg(F.sum("m").alias("m"))
-        near = materialize(near, "merge-near")
+        near = keep(near, "merge-near")
+        for p in old:
+            drop_table(spark, p)
+            used.remove(p)
     return part
 
 

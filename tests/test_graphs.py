@@ -65,6 +65,15 @@ def test_greedy_merging(spark, small):
         partition.greedy_steps(e, most_parts=3)
 
 
+def test_rounds_end_when_no_part_gains(spark):
+    star = spark.range(1, 121).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"), F.lit(1.0).alias("w"))
+    for gain in ("di", "rate"):
+        p = partition.merge_rounds(star, gain=gain)
+        assert p.count() == 121 and entropy.pair_gains(star, p, gain, adjacent_only=True).where("delta < -1e-12").count() == 0
+    with pytest.raises(RuntimeError):
+        partition.merge_rounds(star, max_rounds=0)
+
+
 def test_empty_and_degenerate_graphs(spark):
     none = spark.createDataFrame([], "u long, v long, w double")
     part = spark.createDataFrame([], "node long, cid long")
