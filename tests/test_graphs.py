@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -231,6 +232,15 @@ def test_dynamics(spark, rows):
     assert rows(dynamics.series(long)) == [(1, [5.0, 6.0]), (2, [7.0])] and dynamics.lagged(long).where("before IS NULL").count() == 2
 
 
+def test_degree_threshold_follows_the_users(spark, tmp_path):
+    from orrery.plans.graph_queries import QUERIES
+
+    rng = np.random.default_rng(3)
+    e = [(u, datetime(2024, 1, 1 + k), float(rng.normal())) for u in range(30) for k in range(9)]
+    spark.createDataFrame(e, "user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["degree_threshold"](spark, str(tmp_path)).count() == 30 * 4 / 2
+
+
 def test_compare_store_and_spectral(spark, rows, tmp_path):
     from orrery.sources import store
 
