@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from orrery.plans.numbering import numbered
+from orrery.plans.scratch import materialize
 
 #: Nodes of the graphs that one simulation or spectrum takes as a dense matrix.
 MOST_NODES = 5_000
@@ -132,20 +135,63 @@ def mutual_information(points: DataFrame, bins: int = 4) -> DataFrame:
 
 
 def partial_correlations(points: DataFrame, shrink: float = 0.1) -> DataFrame:
-    """(u, v, w): correlation of each two series given all others, from the inverse of the shrunk covariance: direct links only. For up to MOST_NODES series."""
-    def run(d: pd.DataFrame) -> pd.DataFrame:
+    """(u, v, w): correlation of each two series given all others, from the inverse of the shrunk covariance: direct links only. Series or times, the fewer
+    of the two, may be MOST_NODES.
+
+    With a = shrink times the mean variance, b = (1 - shrink) / (times - 1) and the centred series as rows of Z, the inverse of a I + b Z Z' is
+    (I - b Z (a I + b Z' Z)^-1 Z') / a: where series are more than times only a matrix of times by times is inverted, and the pairs come block by block.
+    """
+    from orrery.operators.graphs import pairs
+
+    spark = points.sparkSession
+    p = materialize(points.where("id IS NOT NULL").select("id", F.col("x").cast("array<double>").alias("x")), "partial-points")
+    n, times = p.agg(F.count("*"), F.max(F.size("x"))).first()
+    if not n or times < 2:
+        return spark.createDataFrame([], "u bigint, v bigint, w double")
+    if min(n, times) > MOST_NODES:
+        raise ValueError(f"at most {MOST_NODES} series or times")
+
+    def dense(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("id")
-        if len(d) > MOST_NODES:
-            raise ValueError(f"at most {MOST_NODES} series")
-        c = np.cov(np.stack(d["x"].to_numpy()))
-        c = (1 - shrink) * c + shrink * np.eye(len(c)) * max(np.trace(c) / len(c), 1e-12)
-        k = np.linalg.inv(c)
-        r = -k / np.sqrt(np.outer(np.diag(k), np.diag(k)))
+        c = np.cov(np.stack(d["x"].to_numpy())).reshape(len(d), len(d))
+        k = np.linalg.inv((1 - shrink) * c + shrink * np.eye(len(c)) * max(np.trace(c) / len(c), 1e-12))
         i, j = np.triu_indices(len(d), 1)
         ids = d["id"].to_numpy()
-        return pd.DataFrame({"u": ids[i], "v": ids[j], "w": r[i, j]})
-
-    return points.groupBy(F.lit(0).alias("all")).applyInPandas(lambda d: run(d), "u bigint, v bigint, w double")
+        return pd.DataFrame({"u": ids[i], "v": ids[j], "w": (-k / np.sqrt(np.outer(np.diag(k), np.diag(k))))[i, j]})
+
+    if n <= times:
+        return p.groupBy(F.lit(0).alias("all")).applyInPandas(dense, "u bigint, v bigint, w double")
+    if shrink <= 0:
+        raise ValueError("the covariance of more series than times has no inverse without shrinking")
+
+    def centred(d: pd.DataFrame) -> np.ndarray:
+        x = np.stack(d["x"].to_numpy()).astype(float)
+        return x - x.mean(1, keepdims=True)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = np.zeros((times, times))
+        for d in batches:
+            if len(d):
+                z = centred(d)
+                g += z.T @ z
+        yield pd.DataFrame({"i": np.arange(times), "row": list(g)})
+
+    def added(d: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": d["i"].iloc[:1], "row": [np.sum(np.stack(d["row"].to_numpy()), axis=0)]})
+
+    rows = p.mapInPandas(products, "i bigint, row array<double>").groupBy("i").applyInPandas(added, "i bigint, row array<double>")
+    g = np.array([r["row"] for r in rows.orderBy("i").collect()])
+    a, b = shrink * max(np.trace(g) / (times - 1) / n, 1e-12), (1 - shrink) / (times - 1)
+    half = spark.sparkContext.broadcast(np.linalg.inv(np.linalg.cholesky(a * np.eye(times) + b * g)).T * np.sqrt(b))
+
+    def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                y = centred(d) @ half.value
+                yield pd.DataFrame({"id": d["id"], "x": list(y / np.sqrt(1 - (y * y).sum(1, keepdims=True)))})
+
+    directions = materialize(p.mapInPandas(scaled, "id bigint, x array<double>"), "partial-scaled")
+    return pairs(directions, lambda q, r: q @ r.T).select("u", "v", F.col("d").alias("w"))
 
 
 def ising_likelihood(points: DataFrame, steps: int = 300, rate: float = 0.3) -> DataFrame:

@@ -232,6 +232,19 @@ def test_dynamics(spark, rows):
     assert rows(dynamics.series(long)) == [(1, [5.0, 6.0]), (2, [7.0])] and dynamics.lagged(long).where("before IS NULL").count() == 2
 
 
+def test_partial_correlations_of_many_series(spark, monkeypatch):
+    monkeypatch.setattr(dynamics, "MOST_NODES", 20)
+    for n, times in ((40, 12), (8, 30)):
+        x = np.random.default_rng(6).normal(size=(n, times)).cumsum(1)
+        x[3] = 1.0
+        c = np.cov(x)
+        k = np.linalg.inv(0.9 * c + 0.1 * np.eye(n) * np.trace(c) / n)
+        want = -k / np.sqrt(np.outer(np.diag(k), np.diag(k)))
+        p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+        got = {(r["u"], r["v"]): r["w"] for r in dynamics.partial_correlations(p).collect()}
+        assert len(got) == n * (n - 1) // 2 and all(math.isclose(w, want[i, j], abs_tol=1e-9) for (i, j), w in got.items())
+
+
 def test_degree_threshold_follows_the_users(spark, tmp_path):
     from orrery.plans.graph_queries import QUERIES
 
