@@ -7,6 +7,8 @@ very many versions is ever swept by one task as a whole.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -97,12 +99,14 @@ def pending_by_month(versions: DataFrame, refs: DataFrame) -> DataFrame:
     return total.join(new, ["src", "ym"], "left").select("src", "ym", F.coalesce("new_orphans", F.lit(0)).alias("new_orphans"), "open_at_end")
 
 
-def advance(state: DataFrame, pending: DataFrame, versions: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One step of the incremental form: the next state, the next pending references and what this batch reported.
+def advance(state: DataFrame, pending: DataFrame, versions: DataFrame, refs: DataFrame, until: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step of the incremental form: the next state, the next references and what this batch reported.
 
-    state (src, key, state) is the latest version of each target, pending (src, owner_id, key, t) the references that wait; versions and
-    refs are those of a batch that is later than every batch before. The report has (src, what, owner_id, key) with what = 'orphan' for a new
-    reference that finds no target, 'resolved' for a waiting one whose target is there at the end of the batch and 'waiting' for the others.
+    state (src, key, state) is the latest version of each target, pending (src, owner_id, key, t, open) are all references so far, those that wait
+    being open (without that column all are); versions and refs are those of a batch that is later than every batch before. Closed references are kept, as
+    they open again when their target is deleted or its drop time passes. The report has (src, what, owner_id, key) with what = 'orphan' for a new
+    reference that finds no target, 'resolved' for an open one whose target is there at the end of the batch, 'reopened' for a closed one whose target is
+    gone there, and 'waiting' for all that are open then. The batch ends with its last event, or at `until` if that is later.
     Each frame may be empty. Feed it from foreachBatch, writing the first two frames as tables.
     """
     old = state.select("src", "key", F.col("state.t").alias("t"), "state")
@@ -110,9 +114,11 @@ def advance(state: DataFrame, pending: DataFrame, versions: DataFrame, refs: Dat
     refs = refs.select("src", "owner_id", "key", F.col("t").cast("timestamp_ntz").alias("t")).where("key IS NOT NULL AND t IS NOT NULL").distinct()
     new = orphans(seen, refs).select("src", F.lit("orphan").alias("what"), "owner_id", "key")
     after = seen.groupBy("src", "key").agg(F.max("state").alias("state"))
-    now = refs.agg(F.max("t").alias("a")).crossJoin(versions.agg(F.max("t").alias("b"))).select(F.greatest("a", "b").alias("now"))
-    every = pending.select("src", "owner_id", "key", "t").unionByName(refs)
-    judged = every.join(after, ["src", "key"], "left").join(F.broadcast(now)).withColumn("gone", _gone("state", "now"))
-    waiting = judged.where("gone").select("src", "owner_id", "key", "t")
-    solved = judged.where("NOT gone").join(pending.select("src", "owner_id", "key", "t"), ["src", "owner_id", "key", "t"], "left_semi").select("src", F.lit("resolved").alias("what"), "owner_id", "key")
-    return after, waiting, new.unionByName(solved).unionByName(waiting.select("src", F.lit("waiting").alias("what"), "owner_id", "key"))
+    now = refs.agg(F.max("t").alias("a")).crossJoin(versions.agg(F.max("t").alias("b"))).select(F.greatest("a", "b", F.lit(until).cast("timestamp_ntz")).alias("now"))
+    was = F.col("open") if "open" in pending.columns else F.lit(True)
+    every = pending.select("src", "owner_id", "key", "t", was.alias("was")).unionByName(refs.withColumn("was", F.lit(None).cast("boolean")))
+    gone = F.when(F.col("now").isNull(), F.col("was")).otherwise(_gone("state", "now"))
+    judged = every.join(after, ["src", "key"], "left").join(F.broadcast(now)).select("src", "owner_id", "key", "t", "was", gone.alias("open"))
+    change = F.array_compact(F.array(F.expr("CASE WHEN was AND NOT open THEN 'resolved' WHEN NOT was AND open THEN 'reopened' END"), F.expr("CASE WHEN open THEN 'waiting' END")))
+    changed = judged.select("src", F.explode(change).alias("what"), "owner_id", "key")
+    return after, judged.drop("was"), new.unionByName(changed)

@@ -1,4 +1,4 @@
-"""Pending orphan references kept over a stream of batches."""
+"""References kept over a stream of batches, with those that wait for their targets open."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ class OrphanStream:
         self.spark = spark
         shared_dir(spark)
         self.state = write_table(spark.createDataFrame([], f"src string, key bigint, state {STATE}"), "orphans-state")
-        self.pending = write_table(spark.createDataFrame([], "src string, owner_id bigint, key bigint, t timestamp_ntz"), "orphans-pending")
+        self.pending = write_table(spark.createDataFrame([], "src string, owner_id bigint, key bigint, t timestamp_ntz, open boolean"), "orphans-pending")
         self.report = write_table(spark.createDataFrame([], "batch bigint, src string, what string, owner_id bigint, key bigint"), "orphans-report")
         self.last = -1
 

@@ -107,6 +107,23 @@ def test_pending_and_incremental_orphans_agree(spark):
     assert found == {(a, c, d) for a, _, c, d in _brute_orphans(v, r)}
 
 
+def test_incremental_orphans_reopen(spark):
+    v, r = _random_events(2, 200)
+    vd, rd = _frames(spark, v, r)
+    whole = {(x.src, x.ym): x.open_at_end for x in orphans.pending_by_month(vd, rd).collect()}
+    state, pending, reopened = vd.limit(0).select("src", "key", "state"), rd.limit(0), 0
+    for ym, end in (("2022-12", datetime(2022, 12, 31, 23, 59, 59)), ("2023-01", datetime(2023, 1, 31, 23, 59, 59)), ("2023-02", datetime(2023, 2, 28, 23, 59, 59)), ("2023-03", datetime(2023, 3, 31, 23, 59, 59))):
+        part = lambda d: d.where(F.date_format("t", "yyyy-MM") == ym)  # noqa: B023,E731
+        state, pending, report = orphans.advance(state, pending, part(vd), part(rd), end)
+        state, pending = state.persist(), pending.persist()
+        reopened += report.where("what = 'reopened'").count()
+        waiting = {x.src: x.n for x in report.where("what = 'waiting'").groupBy("src").agg(F.count("*").alias("n")).collect()}
+        for s in "ab":
+            want = whole[max(k for k in whole if k[0] == s and k[1] <= ym)] if any(k[0] == s and k[1] <= ym for k in whole) else 0
+            assert pending.where(F.col("open") & (F.col("src") == s)).count() == waiting.get(s, 0) == want
+    assert reopened > 0
+
+
 def test_near_pairs_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     lon = np.concatenate([rng.normal(100, 0.002, 300), np.full(40, 100.0), 180 - rng.uniform(0, 3e-4, 30), -180 + rng.uniform(0, 3e-4, 30), rng.uniform(-180, 180, 40)])

@@ -22,3 +22,13 @@ def test_stream_of_orphans(spark, tmp_path):
     assert (1, "resolved", 100) in got and (2, "waiting", 103) in got
     ledger(spark.createDataFrame(days[0], s), 1)  # a batch that comes again changes nothing
     assert {(r["batch"], r["what"], r["owner_id"]) for r in spark.read.parquet(ledger.report).collect()} == got
+
+
+def test_a_deletion_reopens_resolved_references(spark):
+    ledger = OrphanStream(spark)
+    t = lambda d: datetime(2023, 1, d)
+    first = [("version", "a", 2, t(1), None, False, None), ("reference", "a", 2, t(1), 101, None, None), ("reference", "a", 2, t(1), None, None, None)]
+    for k, rows in enumerate([first, [("version", "a", 2, t(2), None, True, None)], [("version", "a", 2, t(3), None, False, None)]]):
+        ledger(spark.createDataFrame(rows, OrphanStream.SCHEMA), k)
+    got = {(r["batch"], r["what"], r["owner_id"]) for r in spark.read.parquet(ledger.report).collect()}
+    assert got == {(k, w, o) for k, w in ((1, "reopened"), (1, "waiting"), (2, "resolved")) for o in (101, None)}
