@@ -1,14 +1,11 @@
 """Personal information in the text of scanned pages: found, marked by kind and replaced by keyed surrogates.
 
-A page is first brought into reading order (columns, line-end hyphens, adverts between lines); rules for each kind then run on that, tolerant
-of misread characters, and places are carried back to the text. Surrogates are made by a keyed cipher that works letter by letter and digit by
-digit, so the same thing has the same surrogate everywhere, different things have different ones, and script, length and format stay.
+A page is first brought into reading order (columns, line-end hyphens, insertions between lines); rules for each kind then run on that, tolerant
+of misread characters, and places are carried back to the text.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
 import unicodedata
 from bisect import bisect_right
@@ -19,15 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.persons import Names, find_names, folded, word_before
+from orrery.llm.surrogates import Maker, exceptions, resolve, words_of
+from orrery.plans.scratch import materialize
+
 KINDS = ("email", "phone", "idno", "address", "name")
 #: Most given names that are sent to the executors; a longer list is an error, not cut.
 MOST_NAMES = 1_000_000
 
 # ---------------------------------------------------------------- reading order
 
-_ADVERT = re.compile(r"NO HOME|WITHOUT \S+S |GROCER|SPRING|ONLY$|FINEST|FEINSTE|ALLEN AP|^NUR |DAS STÜCK|MANUFACTURE|SEULEMENT|EN VENTE|PARTOUT|^SOLO |FÁBRICA|TODAS LAS|TIENDAS|POLISH$")
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
-_HYPHENS = "-¬­"
+_HYPHENS = "-¬\u00ad"
 
 
 def _columns(xs: list[int]) -> list[int]:
@@ -77,14 +77,28 @@ def _segments(text: str, boxes: dict[int, tuple[int, int]]) -> list[tuple[int, i
     return lines
 
 
+def _flow(text: str, segments: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pieces with insertions read on their own: printed lines all in capitals that stand between others follow at the end, in their order, so that
+    the text around them is read on. Nothing is left out. Lines that end like parts of sentences, or that a word runs into, are no insertions."""
+    caps = []
+    for k, (s, e) in enumerate(segments):
+        x = text[s:e]
+        alone = e - s > 7 and x.upper() == x and sum(map(str.isalpha, x)) * 2 > len(x) and not (x[-1] in ".,;:" + _HYPHENS or x[-1].isdigit())
+        before = text[slice(*segments[k - 1])].split()[-1] if k else ""
+        caps.append(alone and not (before[-1:] in _HYPHENS and before.upper() == before and len(before) > 2))
+    first = next((k for k, c in enumerate(caps) if not c), len(caps))
+    apart = [k for k in range(first, len(caps)) if caps[k]]
+    if not apart:
+        return segments
+    return [x for k, x in enumerate(segments) if k < first or not caps[k]] + [segments[k] for k in apart]
+
+
 def reading_order(text: str, boxes: dict[int, tuple[int, int]]) -> tuple[str, list[int], list[int]]:
     """The text as it is read, and where its pieces begin in it and in the page's text."""
     out: list[str] = []
     at, origin, n, last = [], [], 0, ""
-    for s, e in _segments(text, boxes):
+    for s, e in _flow(text, _segments(text, boxes)):
         piece = text[s:e]
-        if last and len(piece) > 7 and piece.upper() == piece and _ADVERT.search(piece):
-            continue
         if last:
             joint = last[-1]
             if joint in _HYPHENS and len(last) > 1:
@@ -119,15 +133,17 @@ def _digits(shape: str) -> str:
     return out
 
 
-#: Shapes of telephone numbers and of numbers issued to persons.
+#: How telephone numbers are grouped within countries.
 PHONES = (
-    "(999) 999-9999", "999-999-9999", "+9 999 999 9999", "999.999.9999", "999-9999", "99999 999 999", "999 9999 9999", "9999 99 9999 9999", "+99 9999 999999",
-    "+99 (9)99 99999 999", "999/99999999", "999 99999 999", "+99 99 99999-999", "9 99 / 9 99 99-999", "(9999) 9999 999",
-    "+99 (9)9 99 99 99 99", "+99 9 99 99 99 99", "99.99.99.99.99", "99 99 99 99 99", "99-99-99-99-99", "9999 999999",
-    "+99 99 999 99 99", "9999 99 999 9999", "99-999-99-99", "(99) 9999999", "99 999 99 99",
+    "(999) 999-9999", "999-999-9999", "999.999.9999", "999 999 9999", "(999) 999 9999", "999-9999", "09999 999 999", "09999 999999", "099 9999 9999", "0999 999 9999", "0999/99999999", "099/99999999", "099 99999 999", "099 99999999",
+    "0 99 / 9 99 99-999", "(0999) 9999 999", "(099) 9999 9999", "09 99 99 99 99", "09.99.99.99.99", "09-99-99-99-99", "0999 999999",
+    "(99) 9999999", "99 999 99 99", "99-999-99-99", "999 99 99 99",
 )
+#: A number with a country's code: after + or 00, groups of digits with single separators and perhaps a trunk zero in brackets.
+_WORLD = rf"(?:\+ ?|[0O][0O]){_D}{{1,3}}(?:(?:[ .-]|[ -]?\([0O]\) ?){_D}{{1,8}}){{1,5}}(?:-{_D}{{1,4}})?"
+#: How numbers issued to persons are built: social security, insurance, identity card and passport numbers. AA is a pair of letters.
 IDS = (
-    "QQ_99_99_99_A", "XP9999999", "T99999999", "99 999999 A 999", "L9A999999", "LOA999999", "9 99 99 99 999 999 99", "99XX99999", "XZ999999", "99999999-A", "99.999.999-A", "999-99-9999", "999 99 9999",
+    "AA 99 99 99 A", "AA999999A", "999-99-9999", "999 99 9999", "9 99 99 99 999 999 99", "99 999999 A 999", "A9A999999", "AOA999999", "99AA99999", "A99999999", "AA9999999", "AA999999", "99999999-A", "99.999.999-A", "A-9999999-A", "99999999A",
 )
 #: Words before numbers of things.
 THINGS = ("lot", "lots", "los", "lote", "order", "part", "stock", "teil", "bestellnummer", "commande", "pièce", "pedido", "pieza", "account", "konto", "compte", "cuenta", "circulation", "numbers", "saison", "season", "jahrgang", "temporada")
@@ -135,7 +151,7 @@ THINGS = ("lot", "lots", "los", "lote", "order", "part", "stock", "teil", "beste
 CALLS = ("telephone", "bell", "day", "ring", "at", "fernruf", "tel", "tél", "teléfono", "au", "lessons", "maid", "phone")
 
 _ID = re.compile(r"(?<![\w.,/-])(?:" + "|".join(map(_digits, IDS)) + r")(?![\w/-]|\.\d| \d{2}\b)")
-_PHONE = re.compile(r"(?<![\w.,/+(-])(?<!\d )(?:" + "|".join(map(_digits, sorted(PHONES, key=len, reverse=True))) + r")(?![\w/]|[-.]\d| \d{2}\b(?! [A-Z]))")
+_PHONE = re.compile(r"(?<![\w.,/+(-])(?<!\d )(?:" + _WORLD + "|" + "|".join(map(_digits, sorted(PHONES, key=len, reverse=True))) + r")(?![\w/]|[-.]\d| \d{2}\b(?! [A-Z]))")
 _EXCHANGE = re.compile(rf"\b([A-ZÀ-Þ0][\w’-]+) ({_D}{{3,4}})(?=[.,;]? |[.,;]?$)")
 #: Last parts of addresses, where a blank stands before them.
 _TOP = r"(?:example|examp1e|test|tesf|invalid|inva1id|com|org|net|de|fr|es|uk)"
@@ -144,105 +160,19 @@ _EMAIL = re.compile(rf"(?<![\w.+-])[\w.+-]*\w(?:{_AT}[\w-]+(?:\.[\w-]+)*(?: ?\.
 _AT_SIGN = re.compile(r"[@©®]|[(\[] ?[a@][tf]? ?[)\]]|(?<= )[a@][tf] [\w-]+ d[o0][tf] ", re.I)
 _HOUSE = rf"(?:\d{_D}{{0,2}}|[OolISB]\d{_D}?)(?:[A-Za-z]\b|½| ?½)?"
 _PROPER = r"[A-ZÀ-Þ0-9][\w’'-]*"
-_EN_KIND = r"(?i:[s5ſ][tf]r?[ec]{1,2}[tf]|[s5ſ][tf]r[ec]+|[sſ5][tf]\.?|r[o0][aun]d|rd\.?|r[o0]w|[l1i][aun]n[ec]|[ec]r[ec][sſ5][ec]{2}n[tf]|[tf][ec]r{1,2}[aun][ec]{2}|[aun]v[ec]n[un][ec]|[aun]v[ec]\.?|[sſ5]qu[aun]r[ec])"
+_EN_KIND = r"(?i:[s5ſ][tf]r?[ec]{1,2}[tf]|[s5ſ][tf]r[ec]+|[sſ5][tf]\.?|r[o0][aun]d|rd\.?|r[o0]w|[l1i][aun]n[ec]|[ec]r[ec][sſ5][ec]{2}n[tf]|[tf][ec]r{1,2}[aun][ec]{2}|[aun]v[ec]n[un][ec]|[aun]v[ec]\.?|[sſ5]qu[aun]r[ec]|Drive|Court|Place|Close|Gardens|Grove|Mews|Boulevard)"
 _EN = re.compile(rf"(?<![\w./£$-])(?<!\d )({_HOUSE}),? (?:{_PROPER} ){{1,3}}?{_EN_KIND}(?![\w])")
 _DE_KIND = r"(?:[sſ5][tf]r(?:[aun][ßsſB5]{1,2}e|[aun][ßsſB5]{1,2}[ce]|\.)|str(?:aße|asse)?|w[ec][g9]|g[aun][sſ5]{1,2}[ec]|p[l1i][aun][tf]z|[aun][l1i]{2}[ec]{2}|u[ft][ec]r|damm|ring|steig|markt)"
 _DE = re.compile(rf"\b(?:(?:Ob[ec]r[ec]|Unt[ec]r[ec]|Alt[ec]|N[ec]u[ec]|Groß[ec]|Klein[ec]|Hint[ec]r[ec]|Vord[ec]r[ec]) )?[A-ZÄÖÜ][\w’-]{{2,}}?{_DE_KIND},? ?{_HOUSE}(?![\d,.]*\d)(?! ?(?:Mk|Uhr|Stimmen|Stunden))")
 _FR_KIND = r"(?:ru[ec]|[aun]v[ec]n[un][ec]|[aun]v\.|b[o0]u[l1i][ec]v[aun]rd|bd\.?|qu[aun][il1]|p[l1i][aun][ce][ec]|impa[sſ5]{2}e|[il1]mp[aun][sſ5]{2}[ec]|ch[ec]min|all[ée]e|cours|passage|sentier)"
 _FR = re.compile(rf"(?<![\w./-])(?<!\d )({_HOUSE}(?: (?:b[il1][sſ5]|t[ec]r))?),? {_FR_KIND} (?:(?:de la|d[ec] [l1i][aun]|d[un]|d[ec][sſ5]|aux|[aun]ux|d[ec] [l1i]?[’']?|d[’']) ?)?{_PROPER}", re.I)
+#: Italian streets stand before their number, too.
+_IT_KIND = r"(?:Via|Viale|Piazza|Corso|Vicolo|Largo)"
 _ES_KIND = r"(?:C[aun][l1i]{2}[ec]|C/|Av[ec]n[il1]d[aun]|Avda\.?|Av\.|P[l1i][aun]z[aun]|Pza\.?|C[aun][l1i]{2}[ec]j[óo]n|P[aun][sſ5][ec][o0]|Ronda|Cuesta|Travesía|Camino)"
-_ES = re.compile(rf"(?<![\w]){_ES_KIND} ?(?:(?:d[ec] [l1i][aun]|d[ec] [l1i][o0][sſ5]|d[ec][l1i]|d[ec]) )?(?:{_PROPER}(?: [A-ZÀ-Þ][\w’-]*){{0,2}}?),? ?(?:n[º°o]\.? ?|núm\.? ?)?{_HOUSE}(?![\d,.:]*\d)(?! ?(?:ptas|h\b|votos))")
-
-#: How family and given names are built in this material; the list of given names adds to the latter.
-FAMILY_HEADS = ("Brack", "Caro", "Crow", "Dun", "Fen", "Gar", "Har", "Hollo", "Ket", "Lang", "Lind", "Mer", "Mont", "Ober", "Old", "Pell", "Ross", "Stan", "Stein", "Thorn", "Tre", "Vau", "Wick", "Zell")
-FAMILY_ENDS = ("ano", "bach", "by", "dalen", "eda", "gate", "höfer", "lock", "mard", "mire", "nerhof", "quist", "rieux", "sham", "sley", "strøm", "uño", "villa", "wellin", "worth", "étrix")
-GIVEN_ENDS = ("ane", "ard", "brecht", "ela", "en", "ette", "ia", "ina", "is", "ita", "ius", "mund", "old", "ondo", "or", "ric", "vald", "win")
-#: Titles before a family name.
-TITLES = ("mr", "mrs", "miss", "ms", "dr", "prof", "captain", "capt", "constable", "sergeant", "rev", "sir", "lady", "herr", "frau", "fräulein", "witwe", "wachtmeister", "mme", "mlle", "madame", "monsieur", "veuve", "viuda", "don", "doña", "señor", "señora", "señorita", "sr", "sra")
-#: What follows a name of a firm, a ship, a street or a place.
-NOT_PERSONS = ("&", "savings", "queen", "castle", "star", "stern", "étoile", "estrella", "collieries", "street", "st", "road", "rd", "row", "lane", "crescent", "terrace", "avenue", "ave", "square", "hotel", "bank", "company", "horses", "sons", "söhne", "fils", "hijos")
-_PARTICLES = ("van", "von", "de la", "de los", "del", "de", "della", "di", "zu", "der")
-
-_FOLD = str.maketrans({"1": "i", "l": "i", "|": "i", "!": "i", "0": "o", "5": "s", "9": "g", "8": "b", "ſ": "s", "c": "e", "u": "n", "a": "n", "r": "n", "h": "b", "f": "t", "ø": "o", "ß": "b", "6": "b"})
-
-
-_FOLDS: dict[str, str] = {}
-
-
-def _folded(word: str) -> str:
-    """A word with signs that scans mistake for each other made equal."""
-    got = _FOLDS.get(word)
-    if got is None:
-        if len(_FOLDS) > 500_000:
-            _FOLDS.clear()
-        got = _FOLDS[word] = _fold(word)
-    return got
-
-
-def _fold(word: str) -> str:
-    w = unicodedata.normalize("NFKD", word.lower().replace("ſ", "s").replace("ø", "o"))
-    w = "".join(c for c in w if not unicodedata.combining(c))
-    for a, b in (("rn", "m"), ("ri", "n"), ("rl", "n"), ("r1", "n"), ("vv", "w"), ("ii", "u")):
-        w = w.replace(a, b)
-    return w.translate(_FOLD)
-
-
-def _less(w: str) -> set[str]:
-    return {w[:k] + w[k + 1 :] for k in range(len(w))}
-
-
-class Names:
-    """Tells given and family names, also misread ones, from other words."""
-
-    def __init__(self, given: tuple[str, ...]):
-        listed = {g.strip().title() for g in given if g and g.strip()}
-        heads = {g[: -len(e)] for g in listed for e in GIVEN_ENDS if g.endswith(e) and len(g) > len(e) + 1}
-        # A head counts when it takes several of the ends.
-        taken = Counter(h for h in heads for e in GIVEN_ENDS if h + e in listed)
-        first = listed | {h + e for h, n in taken.items() if n >= 3 for e in GIVEN_ENDS}
-        last = {h + e for h in FAMILY_HEADS for e in FAMILY_ENDS}
-        self.words = {"G": {_folded(w) for w in first}, "S": {_folded(w) for w in last}}
-        self.less = {k: {x for w in v if len(w) > 4 for x in _less(w)} for k, v in self.words.items()}
-        self.known: dict[str, str] = {}
-        self.ends = {w[k:] for v in self.words.values() for w in v for k in range(1, len(w) - 1)}
-        self.tails: dict[str, bool] = {}
-
-    def tail(self, word: str) -> bool:
-        """Whether a word may be the second piece of a name that a blank has broken."""
-        got = self.tails.get(word)
-        if got is None:
-            if len(self.tails) > 500_000:
-                self.tails.clear()
-            got = self.tails[word] = _folded(word) in self.ends
-        return got
-
-    def kind(self, word: str) -> str:
-        """'G', 'S', 'GS' or ''."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            got = self.known[word] = self._kind(word)
-        return got
-
-    def _kind(self, word: str) -> str:
-        if "-" in word.strip("-"):
-            parts = [self.kind(p) for p in word.split("-") if p]
-            return "S" if len(parts) == 2 and all("S" in p for p in parts) else self.kind(word.replace("-", ""))
-        w = _folded(word)
-        exact = "".join(k for k in "GS" if w in self.words[k])
-        if exact or len(w) < 5:
-            return exact
-        near = _less(w)
-        return "".join(k for k in "GS" if w in self.less[k] or near & self.words[k] or (len(w) > 5 and near & self.less[k]))
-
-
-_TOKEN = re.compile(r"[A-ZÀ-Þ0-9ſ][\w’ſ]*(?:-[A-ZÀ-Þ0-9][\w’ſ]*)*|l(?=ld)\w+")
-_WORD = re.compile(r"[\w’&-]+")
-
+_ES = re.compile(rf"(?<![\w])(?:{_ES_KIND}|{_IT_KIND}) ?(?:(?:d[ec] [l1i][aun]|d[ec] [l1i][o0][sſ5]|d[ec][l1i]|d[ec]) )?(?:{_PROPER}(?: [A-ZÀ-Þ][\w’-]*){{0,2}}?),? ?(?:n[º°o]\.? ?|núm\.? ?)?{_HOUSE}(?![\d,.:]*\d)(?! ?(?:ptas|h\b|votos))")
 
 #: Where a number may start: a digit, perhaps misread, a sign before it or the letters of a registry.
-_START = re.compile(r"[0-9(+]|[OolISB][0-9]|[QXTL](?=[QPZ0-9OolISB])")
+_START = re.compile(r"[0-9(+]|[OolISB][0-9]|[A-Z](?=[A-Z]?[ -]?[0-9OolISB])")
 
 
 def _starts(t: str) -> list[int]:
@@ -259,130 +189,22 @@ def _matches(rule: re.Pattern, t: str, starts: list[int]) -> Iterator[re.Match]:
             yield m
 
 
-def _word_before(t: str, at: int) -> tuple[str, int]:
-    """The word that ends before a place (without its point), and where it starts."""
-    e = at
-    while e > 0 and not (t[e - 1].isalnum()):
-        if at - e > 2:
-            return "", e
-        e -= 1
-    s = e
-    while s > 0 and (t[s - 1].isalnum() or t[s - 1] in "’ſ"):
-        s -= 1
-    return t[s:e], s
-
-
-_TITLE_FOLDED = {_folded(x) for x in TITLES}
-_THING_FOLDED = {_folded(x) for x in THINGS}
+_THING_FOLDED = {folded(x) for x in THINGS}
 _LONG_THINGS = {x for x in _THING_FOLDED if len(x) > 4}
-_ABBREVIATIONS = {_folded(x) for x in ("no", "nr", "nº", "n", "núm", "num", "nu", "m")}
-_CALL_FOLDED = {_folded(x) for x in CALLS}
+_ABBREVIATIONS = {folded(x) for x in ("no", "nr", "nº", "n", "núm", "num", "nu", "m")}
+_CALL_FOLDED = {folded(x) for x in CALLS}
 #: Of these, those that stand right before the number.
-_DIRECT = {_folded(x) for x in ("bell", "day", "ring", "at", "au", "telephone", "fernruf", "teléfono", "phone")}
-_NOT_FOLDED = {_folded(x) for x in NOT_PERSONS}
+_DIRECT = {folded(x) for x in ("bell", "day", "ring", "at", "au", "telephone", "fernruf", "teléfono", "phone")}
 
 
 def _of_thing(t: str, at: int) -> bool:
     """Whether the words before a number say that it is that of a thing. The word may be broken by a blank."""
     words = [w for w in re.findall(r"[\w’]+", unicodedata.normalize("NFC", t[max(0, at - 30) : at])) if w]
-    while words and len(words[-1]) < 4 and _folded(words[-1]) in _ABBREVIATIONS:
+    while words and len(words[-1]) < 4 and folded(words[-1]) in _ABBREVIATIONS:
         words.pop()
     if not words:
         return False
-    return _folded(words[-1]) in _THING_FOLDED or (len(words) > 1 and _folded(words[-2] + words[-1]) in _LONG_THINGS)
-
-
-def _names(t: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    toks = []
-    for m in _TOKEN.finditer(t):
-        w = m[0]
-        if w[0].isdigit() and not (len(w) > 3 and w[1:2].isalpha()):
-            continue
-        k = names.kind(w) if len(w) > 2 else ""
-        e = m.end()
-        if not k and len(w) > 1 and e + 1 < len(t) and t[e] == " " and t[e + 1].islower():
-            # A word broken by a blank.
-            n = _WORD.match(t, e + 1)
-            if n and len(n[0]) < 9 and names.tail(n[0]):
-                k = names.kind(w + n[0]) if len(w) + len(n[0]) > 4 and not names.kind(n[0]) else ""
-                k = k if w + n[0] not in ("", w) and (_folded(w + n[0]) in names.words["G"] or _folded(w + n[0]) in names.words["S"]) else ""
-                e = n.end() if k else e
-        if k or (len(w) == 1 and w.isalpha() and t[e : e + 2] == ". "):
-            toks.append((m.start(), e, k or "I"))
-    end = 0
-    for i, (s, e, k) in enumerate(toks):
-        if s < end:
-            continue
-        got = _name_at(t, toks, i, names)
-        if got:
-            start, stop = got
-            p = bisect_right(taken, (start, 1 << 60)) - 1
-            if p >= 0 and taken[p][1] > start:
-                continue
-            end = stop
-            yield start, stop
-
-
-def _follow(t: str, toks: list, i: int, end: int) -> tuple[int, int] | None:
-    """(index, end) of the family name that follows a place directly, perhaps after an initial and a particle."""
-    rest = t[end : end + 1]
-    if rest != " ":
-        return None
-    p = end + 1
-    j = i + 1
-    if j < len(toks) and toks[j][0] == p and toks[j][2] == "I":
-        p, j = toks[j][1] + 2, j + 1
-    for q in _PARTICLES:
-        if t.startswith(q + " ", p):
-            p += len(q) + 1
-            break
-    while j < len(toks) and toks[j][0] < p:
-        j += 1
-    if j < len(toks) and toks[j][0] == p and "S" in toks[j][2]:
-        return j, toks[j][1]
-    return None
-
-
-def _after_ok(t: str, end: int) -> bool:
-    n = _WORD.match(t, end + 1) if t[end : end + 1] == " " else None
-    return not (n and _folded(n[0]) in _NOT_FOLDED)
-
-
-def _name_at(t: str, toks: list, i: int, names: Names) -> tuple[int, int] | None:
-    s, e, k = toks[i]
-    before, b = _word_before(t, s)
-    if k == "I":
-        f = _follow(t, toks, i, e + 1)
-        if not f or not _after_ok(t, f[1]):
-            return None
-        if t[s] == "M" and re.match(r" et M(?:me|[ll]le)|, Mme", t[f[1] : f[1] + 8]):
-            return toks[f[0]][0], f[1]
-        return s, f[1]
-    if "G" in k:
-        f = _follow(t, toks, i, e)
-        if f:
-            return (s, f[1]) if _after_ok(t, f[1]) else None
-        if "S" not in k:
-            return None
-    # A family name: with the given name after a comma, or after a title.
-    if t[e : e + 2] == ", ":
-        j = i + 1
-        if j < len(toks) and toks[j][0] == e + 2:
-            s2, e2, k2 = toks[j]
-            if k2 == "I" and not _follow(t, toks, j, e2 + 1):
-                return s, e2 + 1
-            if "G" in k2 and not _follow(t, toks, j, e2):
-                return s, e2
-    if before and _after_ok(t, e):
-        w, at = before, b
-        if w.lower() in _PARTICLES:
-            w, at2 = _word_before(t, b)
-            s = b if w and _folded(w) in _TITLE_FOLDED else s
-        if _folded(w) in _TITLE_FOLDED and len(w) > 1:
-            return s, e
-    if t[e : e + 1] == " " and i + 1 < len(toks) and toks[i + 1][0] == e + 1 and toks[i + 1][2] == "G" and not _follow(t, toks, i + 1, toks[i + 1][1]) and _folded(before) not in ("tirma", "mnison", "ensn"):
-        return s, toks[i + 1][1]
-    return None
+    return folded(words[-1]) in _THING_FOLDED or (len(words) > 1 and folded(words[-2] + words[-1]) in _LONG_THINGS)
 
 
 def find(text: str, boxes: dict[int, tuple[int, int]], names: Names) -> list[tuple[str, int, int, str, list[tuple[int, int]]]]:
@@ -435,18 +257,18 @@ def find(text: str, boxes: dict[int, tuple[int, int]], names: Names) -> list[tup
     for m in _EXCHANGE.finditer(t):
         # Before an exchange word: a word that announces the number, or an address.
         s = m.start()
-        lead, ls = _word_before(t, s)
+        lead, ls = word_before(t, s)
         words = [m[1]]
-        while lead and lead[0].isupper() and len(lead) > 2 and _folded(lead) not in _CALL_FOLDED and t[s - 1] == " " and t[s - 2].isalnum() and len(words) < 3 and free(ls, s):
+        while lead and lead[0].isupper() and len(lead) > 2 and folded(lead) not in _CALL_FOLDED and t[s - 1] == " " and t[s - 2].isalnum() and len(words) < 3 and free(ls, s):
             words.insert(0, lead)
             s = ls
-            lead, ls = _word_before(t, s)
-        called = lead and _folded(lead) in _CALL_FOLDED and (t[s - 2 : s - 1].isalnum() or _folded(lead) not in _DIRECT)
+            lead, ls = word_before(t, s)
+        called = lead and folded(lead) in _CALL_FOLDED and (t[s - 2 : s - 1].isalnum() or folded(lead) not in _DIRECT)
         p = bisect_right(taken, (s, 0)) - 1
         beside = p >= 0 and taken[p][1] <= s and s - taken[p][1] <= 2 and t[taken[p][1] : s].strip() in (",", "") and any(x[:2] == taken[p] and x[2] == "address" for x in found)
         if (called or beside) and not re.match(r"(?:Lots|Between|Hymn|Lot|Circulation|Licence|Apply|Insurance|Nach|Seit|Zwischen|Mit|Depuis|Par|Desde|Por|Not|From|Rain|Members|Der|Die|Das|La|Le|El)\b", words[0]):
             take(s, m.end(), "phone")
-    for s, e in _names(t, names, taken):
+    for s, e in find_names(t, names, taken):
         take(s, e, "name")
     out = []
     for s, e, kind in sorted(found):
@@ -462,59 +284,11 @@ def find(text: str, boxes: dict[int, tuple[int, int]], names: Names) -> list[tup
     return out
 
 
-# ---------------------------------------------------------------- surrogates
-
-_CLASSES = ("bcdfghjklmnpqrstvwxz", "aeiouy", "0123456789", "áàâäãåæ", "éèêë", "íìîï", "óòôöõøœ", "úùûü", "ñçß")
-
-
-_TURNS: dict[tuple, tuple[int, ...]] = {}
-
-
-def _turn(key: bytes, kind: str, before: str, n: int) -> tuple[int, ...]:
-    """A keyed order of n signs that depends on what stands before."""
-    known = (key, kind, before, n)
-    if known in _TURNS:
-        return _TURNS[known]
-    order, k = list(range(n)), 0
-    stream = b""
-    for i in range(n - 1, 0, -1):
-        if k >= len(stream) - 1:
-            stream, k = hmac.new(key, f"{kind}|{before}|{i}".encode(), hashlib.sha256).digest(), 0
-        j = int.from_bytes(stream[k : k + 2], "big") % (i + 1)
-        k += 2
-        order[i], order[j] = order[j], order[i]
-    if len(_TURNS) > 200_000:
-        _TURNS.clear()
-    _TURNS[known] = tuple(order)
-    return _TURNS[known]
-
-
-def surrogate(value: str, kind: str, key: bytes) -> str:
-    """A value of the same kind, script, length and format: each letter or digit goes to one of its class, by a keyed order that depends on
-    what stands before it in its word. So it is one to one: equal values agree and different ones differ, also in the family name of different mentions.
-    """
-    out, before = [], ""
-    for c in value:
-        low = c.lower()
-        for cls in _CLASSES:
-            at = cls.find(low)
-            if at >= 0:
-                new = cls[_turn(key, kind, before, len(cls))[at]]
-                out.append(new.upper() if c.isupper() and len(new.upper()) == 1 else new)
-                before += low
-                break
-        else:
-            out.append(c)
-            before = "" if kind == "name" and not c.isalnum() else before + c
-    return "".join(out)
-
-
-def replaced(text: str, found: list, key: bytes) -> str:
+def replaced(text: str, found: list, maker: Maker) -> str:
     """The text with <kind>surrogate</kind> for everything found; the rest is as it was. Pieces of one thing in other lines go."""
     cuts = []
-    for kind, _, _, read, pieces in found:
-        canon = " ".join(read.split())
-        cuts.append((*pieces[0], f"<{kind}>{surrogate(canon, kind, key)}</{kind}>"))
+    for kind, read, pieces in found:
+        cuts.append((*pieces[0], f"<{kind}>{maker.make(kind, read)}</{kind}>"))
         cuts += [(a, b, "") for a, b in pieces[1:]]
     out, p = [], 0
     for a, b, new in sorted(cuts):
@@ -580,37 +354,59 @@ def detect(documents: DataFrame, names: DataFrame) -> DataFrame:
     return _documents(documents).mapInArrow(run, "doc_id bigint, kind string, start_pos bigint, end_pos bigint, found string")
 
 
-def pseudonymize(documents: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """(doc_id, text): the texts with everything found replaced by <kind>surrogate</kind>. One row comes out for each that goes in; null stays null."""
-    given, secret = given_names(names), key.encode()
+_MARKED = "doc_id bigint, text string, found array<struct<kind:string,read:string,pieces:array<struct<a:int,b:int>>>>"
+
+
+def marked(documents: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, text, found): each document, once more with what is found in it and where its pieces stand. Written to the shared folder, so that no text is searched twice."""
+    given = given_names(names)
+    piece = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("read", pa.string()), ("pieces", piece)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        rows: list[tuple] = []
+        size = 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), kind))], names=["doc_id", "text", "found"])
         for i, text, found in _pages(batches, given):
-            ids.append(i)
-            texts.append(replaced(text, found, secret) if found else text)
+            rows.append((i, text, [{"kind": k, "read": read, "pieces": [{"a": a, "b": b} for a, b in pieces]} for k, _, _, read, pieces in found]))
             size += len(text or "")
             if size > 4_000_000:
                 yield pack()
-                ids, texts, size = [], [], 0
-        if ids:
+                rows, size = [], 0
+        if rows:
             yield pack()
 
-    return _documents(documents).mapInArrow(run, "doc_id bigint, text string")
+    return materialize(_documents(documents).mapInArrow(run, _MARKED), "pii-marked")
+
 
+def _words(found: DataFrame) -> DataFrame:
+    return words_of(found.select(F.explode("found").alias("f")).select(F.col("f.kind").alias("kind"), F.col("f.read").alias("found")))
 
-def collisions(found: DataFrame, key: str) -> DataFrame:
-    """(kind, surrogate, n_values): surrogates that stand for more than one value, or for a value that occurs itself. None, as long as the cipher is one to one; short
-    values may coincide with others by chance. Values count without differences of case and blanks.
+
+def pseudonymize(documents: DataFrame, names: DataFrame, key: str, syllables: int = 2) -> DataFrame:
+    """(doc_id, text): the texts with everything found replaced by <kind>surrogate</kind>. One row comes out for each that goes in; null stays null.
+
+    Words that would draw the surrogate of another word, or one that occurs, draw again, over the whole corpus: see surrogates.resolve().
     """
-    secret = key.encode()
-    values = found.select("kind", F.lower(F.regexp_replace("found", r"\s+", " ")).alias("value")).distinct()
+    found = marked(documents, names)
+    known, secret = exceptions(*resolve(_words(found), key, syllables)), key.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Maker(secret, known, syllables)
         for b in batches:
-            k, v = b.column("kind").to_pylist(), b.column("value").to_pylist()
-            yield b.append_column("surrogate", pa.array([surrogate(x, y, secret) for x, y in zip(v, k)], pa.string()))
-
-    made = values.mapInArrow(run, "kind string, value string, surrogate string")
-    return made.groupBy("kind", "surrogate").agg(F.count("*").alias("n_values")).where(F.col("n_values") > 1)
+            for k in range(0, b.num_rows, 2_000):
+                part = b.slice(k, 2_000)
+                rows = zip(part.column("text").to_pylist(), part.column("found").to_pylist())
+                texts = [replaced(t, [(f["kind"], f["read"], [(p["a"], p["b"]) for p in f["pieces"]]) for f in fs], maker) if fs else t for t, fs in rows]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return found.mapInArrow(run, "doc_id bigint, text string")
+
+
+def collisions(documents: DataFrame, names: DataFrame, key: str, syllables: int = 2) -> DataFrame:
+    """(pool, words, drawn_again, own_spellings, still_colliding): per pool of surrogates the words in it (those that look the same count once), how many had to draw
+    again as their surrogate was another's or occurs itself, how many spellings are words of their own, and how many surrogates stand for several words, which is 0."""
+    drawn, own = resolve(_words(marked(documents, names)), key, syllables)
+    n = drawn.groupBy("pool").agg(F.count("*").alias("words"), F.sum((F.col("attempt") > 0).cast("bigint")).alias("drawn_again"), (F.count("*") - F.countDistinct("surrogate")).alias("still_colliding"))
+    o = own.groupBy("pool").agg(F.count("*").alias("own_spellings"))
+    return n.join(o, "pool", "left").select("pool", "words", "drawn_again", F.coalesce("own_spellings", F.lit(0)).alias("own_spellings"), "still_colliding")

@@ -75,8 +75,8 @@ def p8_replaced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_collisions(spark: SparkSession, d: str) -> DataFrame:
-    """Surrogates that stand for several values."""
-    return pii.collisions(pii.detect(table(spark, d, "documents"), table(spark, d, "given_name")), KEY)
+    """How many surrogates had to be drawn again, per pool."""
+    return pii.collisions(table(spark, d, "documents"), table(spark, d, "given_name"), KEY)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_replaced, p8_collisions)}

@@ -1,12 +1,14 @@
 """Corpus operators on small and dirty inputs, against brute force, round trips and planted cases."""
 
 import math
+import re
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import clusters, mixing, pii, similar, tokens
+from orrery.llm import clusters, mixing, pii, similar, surrogates, tokens
 from orrery.operators.spatial import haversine_m
 
 # ---------------------------------------------------------------- clusters
@@ -225,7 +227,43 @@ def test_found_in_a_page(spark):
     assert pii.detect(d.limit(0), names).count() == 0 and pii.detect(d, names.limit(0)).where("kind = 'email'").count() == 4
     out = {r["doc_id"]: r["text"] for r in pii.pseudonymize(d, names, "k").collect()}
     assert out[2] is None and out[3] == "" and "Hollobach" not in out[1] and "Messrs. Lindquist & Sons" in out[1] and out[1].count("<name>") == 5 and "</phone>. Lot 940-37-8422" in out[1]
-    assert pii.collisions(pii.detect(d, names), "k").count() == 0
+    assert {(r["pool"], r["still_colliding"]) for r in pii.collisions(d, names, "k").collect()} == {(p, 0) for p in ("family", "woman", "street", "host", "man")}
+    assert pii.pseudonymize(d.limit(0), names, "k").count() == 0 and pii.collisions(d.limit(0), names, "k").count() == 0
+
+
+PLAIN = [
+    ("John Smith met Mr. Thompson and Dr. Mary Johnson.", [("name", "John Smith"), ("name", "Thompson"), ("name", "Mary Johnson")]),
+    ("Gestern trafen sich Hans Müller und Frau von Bülow in Berlin.", [("name", "Hans Müller"), ("name", "von Bülow")]),
+    ("Pierre Dupont et Mme Lefèvre sont venus.", [("name", "Pierre Dupont"), ("name", "Lefèvre")]),
+    ("José García y la señora Martínez viven aquí.", [("name", "José García"), ("name", "Martínez")]),
+    ("Signed by J. R. Whitfield; see also Whitfield, J. and Okafor, Mary.", [("name", "J. R. Whitfield"), ("name", "Whitfield, J."), ("name", "Okafor, Mary")]),
+    ("Messrs. Smith & Sons, the steamer Mary Queen and the Albert Bank closed in Port Arthur.", []),
+    ("Call +44 20 7946 0958 or +1-212-555-0147 or (212) 555-0147.", [("phone", "+44 20"), ("phone", "+1-212"), ("phone", "(212)")]),
+    ("He lives at 221B Baker Drive, she at 10 Downing Court, they in Via Roma 12.", [("address", "221B"), ("address", "10 Downing"), ("address", "Via Roma")]),
+    ("Insurance AB 12 34 56 C; lot AB123456C; passport no. X12345678.", [("idno", "AB 12"), ("idno", "X12345678")]),
+    ("Mail mary.johnson@example.co.uk or mary at example dot com.", [("email", "mary.johnson"), ("email", "mary at")]),
+    ("FINEST TEAS OF MRS. GARWORTH, TEL. 212-555-0147", [("name", "GARWORTH"), ("phone", "212-555")]),
+    ("The 100 000 000 francs, 1 250 000 men and 14 Upper Tannery horses of Section B. The rest left.", []),
+]
+
+
+def test_plain_sentences_without_any_list():
+    names = pii.Names()
+    for text, want in PLAIN:
+        got = sorted((s, kind) for kind, s, *_ in pii.find(text, {}, names))
+        assert got == sorted((text.index(x), kind) for kind, x in want), text
+
+
+def test_lines_in_capitals_are_read_on_their_own():
+    text = "Those present met Mary\nFINEST TEAS OF MRS. GARWORTH, TEL. 212-555-0147 ONLY\nJohnson of Leeds, who had come\nearly.\n"
+    got = {(k, read) for k, _, _, read, _ in pii.find(text, {}, pii.Names())}
+    assert got == {("name", "Mary Johnson"), ("name", "GARWORTH"), ("phone", "212-555-0147")}
+
+
+def test_endings_come_from_the_list():
+    listed = {h + e for h in ("Jor", "Vel", "Cor", "Tam", "Ild", "Sev", "Ros") for e in ("ina", "ard", "ette", "win")} - {"Jorina", "Rosard", "Tamwin"}
+    names = pii.Names(tuple(listed))
+    assert names.is_given("Jorina") == names.is_given("Rosard") == "G" and names.is_given("Table") == "" and names.is_given("Velwiin") == "g"
 
 
 def test_columns_are_read_in_order():
@@ -242,16 +280,43 @@ def test_columns_are_read_in_order():
     assert kinds(text, boxes) == want
 
 
-def test_surrogates_are_one_to_one_and_keep_the_format():
-    key = b"k"
-    values = [f"{a}{b}" for a in ("Holl", "Lind", "Ros", "Ste") for b in ("obach", "quist", "worth", "ina", "ard", "e", "")]
-    made = [pii.surrogate(v, "name", key) for v in values]
-    assert len(set(made)) == len(set(values)) and made == [pii.surrogate(v, "name", key) for v in values]
-    assert pii.surrogate("Jorina Hollobach", "name", key).split()[1] == pii.surrogate("Hollobach", "name", key)
-    assert pii.surrogate("Holl", "name", b"other") != made[6]
+def test_surrogates_keep_kind_gender_script_and_format():
+    m = surrogates.Maker(b"k")
+    a, b, c = (m.make("name", x) for x in ("Jorina van Hollobach", "Mr. Hollobach"[4:], "Hollobach, Jorina"))
+    assert a.split()[1] == "van" and a.split()[2] == b == c.split(",")[0] and a.split()[0] == c.split()[1]
+    # Misread mentions are the same person, capital letters stay.
+    assert m.make("name", "Ho1lobach") == b and m.make("name", "HOLLOBACH") == b.upper() and m.make("name", "J. Hollobach").split()[1] == b
+    assert surrogates.gender("Jorina") == surrogates.gender("Mary") == "woman" and surrogates.gender("Hans") == surrogates.gender("Jorard") == "man"
+    woman, man = m.make("name", "Mary Smith").split()[0], m.make("name", "Hans Smith").split()[0]
+    assert surrogates.gender(woman) == "woman" and surrogates.gender(man) == "man" and m.make("name", "Mary Smith-Jones").split()[1].count("-") == 1
+    greek = m.make("name", "Νίκος Παπάς")
+    assert len(greek) == len("Νίκος Παπάς") and all("GREEK" in unicodedata.name(x) for x in greek if x.isalpha()) and greek != "Νίκος Παπάς"
     phones = [f"+44 1632 {n:06d}" for n in range(3000)]
-    made = [pii.surrogate(p, "phone", key) for p in phones]
-    assert len(set(made)) == 3000 and all(m[0] == "+" and m[3] == " " and m[8] == " " and m.replace(" ", "")[1:].isdigit() for m in made)
+    made = [m.make("phone", p) for p in phones]
+    assert len(set(made)) == 3000 and all(x.startswith("+44 ") and x[8] == " " and len(x) == 15 for x in made)
+    assert m.make("phone", "Central O570") == m.make("phone", "Central 0570") and m.make("phone", "Central 0570").startswith("Central 0")
+    assert m.make("idno", "94O-37-8423") == m.make("idno", "940-37-8423") and re.fullmatch(r"[A-Z]{2} \d\d \d\d \d\d [A-Z]", m.make("idno", "QQ 12 34 56 C"))
+    street = m.make("address", "31, Gravel Pit Street")
+    assert re.fullmatch(r"\d\d, [A-Z]\w+ [A-Z]\w+ Street", street) and "Gravel" not in street and m.make("address", "Kastenstraße 22").split()[0].endswith("straße")
+    mail = m.make("email", "jorina.hollobach49@mail.elmstow.test")
+    assert mail.split("@")[0].split(".")[1][: len(b)] == b.lower() and mail.endswith(".test") and "elmstow" not in mail
+    assert m.make("email", "jo at post dot test").split()[1::2] == ["at", "dot"]
+
+
+def test_colliding_surrogates_are_drawn_again(spark):
+    words = [f"w{k}x{'abcdefghij'[k % 10]}" for k in range(900)]
+    same = [("family", surrogates.canon("Harmire"), "harmire", 9), ("family", surrogates.canon("Hanmire"), "hanmire", 8), ("family", surrogates.canon("Harmire"), "harm1re", 7), ("family", surrogates.canon("Harmire"), "harmine", 1)]
+    d = spark.createDataFrame([("woman", surrogates.canon(w), w, 1) for w in words] + same, "pool string, canon string, word string, n long")
+    # One syllable makes a pool so small that words collide.
+    drawn, own = surrogates.resolve(d, "k", syllables=1)
+    rows = drawn.collect()
+    assert len({(r["pool"], r["surrogate"]) for r in rows}) == len(rows) and max(r["attempt"] for r in rows) > 0
+    looks = {surrogates.canon(w) for w in words}
+    assert not [r for r in rows if r["pool"] == "woman" and surrogates.canon(r["surrogate"]) in looks]
+    assert [r["word"] for r in own.collect()] == ["hanmire"]
+    m = surrogates.Maker(b"k", surrogates.exceptions(drawn, own), 1)
+    assert len({m.word("woman", w) for w in words}) == len({surrogates.canon(w) for w in words})
+    assert m.word("family", "harm1re") == m.word("family", "harmire") == m.word("family", "harmine") != m.word("family", "hanmire")
 
 
 def test_very_long_text(spark):
