@@ -1,18 +1,21 @@
 """References to records that do not exist, yet, or any more.
 
-Keyed state is kept per target: periods of the timeline are snapshots. Within a period the events of a target are swept in the order
-of time; the state at its start is carried in from the periods before. So neither a target with very many references nor one with
-very many versions is ever swept by one task as a whole.
+ledger() keeps a state by target - its latest version, the number of its references, whether they wait - and takes it from period to period. Within a
+period new references probe that state and the period's versions, in the order of time and in spans of a day: so neither a target with very many
+references nor one with very many versions is ever swept by one task as a whole.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from orrery.plans.scratch import materialize, write_table
+
 STATE = "struct<t:timestamp_ntz,dead:boolean,drop:timestamp_ntz>"
 
 
@@ -70,7 +73,7 @@ def orphans(versions: DataFrame, refs: DataFrame, period: str = "day") -> DataFr
 
 
 def pending_by_month(versions: DataFrame, refs: DataFrame) -> DataFrame:
-    """(src, ym, new_orphans, open_at_end): per table and month the references that arrive as orphans and those that wait at its end.
+    """(src, ym, new_orphans, open_at_end): per table and month the references that arrive as orphans and those that wait at its end; in one pass over all months, where ledger() goes month by month.
 
     A waiting reference is resolved when its target arrives and reopened when the target is deleted; copies of a reference count once.
     Months in which nothing changes have no row.
@@ -99,6 +102,84 @@ def pending_by_month(versions: DataFrame, refs: DataFrame) -> DataFrame:
     return total.join(new, ["src", "ym"], "left").select("src", "ym", F.coalesce("new_orphans", F.lit(0)).alias("new_orphans"), "open_at_end")
 
 
+#: Most periods of a timeline; more are taken for a mistake in the times and raise.
+MOST_PERIODS = 10_000
+
+
+def step(keyed: DataFrame, versions: DataFrame, refs: DataFrame, end: datetime) -> DataFrame:
+    """The keyed state after one period: (src, key, state, n, open, was_open, n_new, before).
+
+    keyed (src, key, state, n, open) has one row per target that was ever loaded or referred to: its latest version, how many references it has, and whether they wait.
+    versions and refs (each reference once) are those of the period, which ends at `end`. Arriving targets resolve what waits for them, deletions and passed drop
+    times reopen it. before is the version at the start and n_new the references of the period, for those targets that have any. No column holds a list, so
+    a target with very many references is one row.
+    """
+    none = F.lit(None).cast(STATE)
+    new = versions.select("src", "key", "state", F.lit(0).cast("bigint").alias("n_new")).unionByName(refs.select("src", "key", none.alias("state"), F.lit(1).cast("bigint").alias("n_new")))
+    new = new.groupBy("src", "key").agg(F.max("state").alias("later"), F.sum("n_new").alias("n_new"))
+    j = keyed.select("src", "key", F.col("state").alias("before"), "n", "open").join(new, ["src", "key"], "full")
+    j = j.withColumn("state", F.coalesce("later", "before")).withColumn("n_new", F.coalesce("n_new", F.lit(0))).withColumn("n", F.coalesce("n", F.lit(0)) + F.col("n_new")).withColumn("end", F.lit(end).cast("timestamp_ntz"))
+    return j.select("src", "key", "state", "n", _gone("state", "end").alias("open"), F.coalesce("open", F.lit(False)).alias("was_open"), "n_new", "before")
+
+
+def ledger(versions: DataFrame, refs: DataFrame, period: str = "quarter", sweep: str = "day") -> tuple[DataFrame, DataFrame]:
+    """References kept in keyed state over a timeline, period by period: (found, counts).
+
+    found (src, ym, owner_id, key, t): the references that find no target when they are loaded, each once. They probe the index of targets, which is the state at the
+    start of their period together with the versions loaded in it. counts (src, ends, new_orphans, resolved, reopened, open_at_end): for each period and table the
+    references that arrive as orphans, those whose waiting ended or began again by the period's end, and those that wait then.
+
+    versions come from parents(); refs (src, owner_id, key, t): rows without key or time are no references, copies count once, a null owner_id is kept. Without
+    references nothing is found; without versions every reference is an orphan. The events are written once, by period; each period reads its own
+    and the state before, and writes the state after it. Periods with no event of any table have no counts.
+    """
+    spark = refs.sparkSession
+    r = refs.select("src", "owner_id", F.col("key").cast("bigint").alias("key"), F.col("t").cast("timestamp_ntz").alias("t")).where("key IS NOT NULL AND t IS NOT NULL").distinct()
+    v = versions.select("src", "key", "t", "state")
+    start = F.date_format(F.date_trunc(period, "t"), "yyyyMMdd").cast("int")
+    events = v.select("src", F.lit(None).cast(r.schema["owner_id"].dataType).alias("owner_id"), "key", "t", "state", F.lit("version").alias("kind"), start.alias("per")).unionByName(
+        r.select("src", "owner_id", "key", "t", F.lit(None).cast(STATE).alias("state"), F.lit("reference").alias("kind"), start.alias("per"))
+    )
+    path = write_table(events, "orphan-events", "per", "kind")
+    events = spark.read.schema(events.schema).parquet(path)
+    periods = [x["per"] for x in events.groupBy("per").count().orderBy("per").limit(MOST_PERIODS + 1).collect()]
+    if len(periods) > MOST_PERIODS:
+        raise ValueError(f"more than {MOST_PERIODS} periods")
+    keyed = spark.createDataFrame([], f"src string, key bigint, state {STATE}, n bigint, open boolean")
+    if not periods:
+        none = spark.createDataFrame([], "src string, ym string, owner_id bigint, key bigint, t timestamp_ntz")
+        return none, spark.createDataFrame([], "src string, ends date, new_orphans bigint, resolved bigint, reopened bigint, open_at_end bigint")
+    states = []
+    for per in periods:
+        e = events.where(F.col("per") == per)
+        end = _end(per, period)
+        after = step(keyed, e.where("kind = 'version'"), e.where("kind = 'reference'"), end - timedelta(microseconds=1)).withColumn("per", F.lit(per))
+        states.append(write_table(after, "orphan-state"))
+        keyed = spark.read.schema(after.schema).parquet(states[-1]).select("src", "key", "state", "n", "open")
+    after = spark.read.schema(after.schema).parquet(*states)
+    # All probes run together: each reference meets the state at the start of its period and the versions of that period for what is referred to in it.
+    one = F.concat_ws("|", F.col("per").cast("string"), "src").alias("src")
+    asked = after.where("n_new > 0").select("src", "key", "per", "before")
+    index = asked.where("before IS NOT NULL").select(one, "key", F.col("before.t").alias("t"), F.col("before").alias("state"))
+    seen = events.where("kind = 'version'").join(asked.drop("before"), ["src", "key", "per"], "left_semi").select(one, "key", "t", "state")
+    found = orphans(index.unionByName(seen), events.where("kind = 'reference'").select(one, "owner_id", "key", "t"), sweep)
+    found = materialize(found.select(F.substring("src", 10, 1 << 30).alias("src"), "ym", "owner_id", "key", "t", F.substring("src", 1, 8).cast("int").alias("per")), "orphans-found")
+    n = after.groupBy("src", "per").agg(
+        F.sum(F.when(F.col("was_open") & ~F.col("open"), F.col("n") - F.col("n_new")).otherwise(0)).alias("resolved"),
+        F.sum(F.when(~F.col("was_open") & F.col("open"), F.col("n") - F.col("n_new")).otherwise(0)).alias("reopened"),
+        F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("open_at_end"),
+    )
+    ends = spark.createDataFrame([(per, (_end(per, period) - timedelta(days=1)).date()) for per in periods], "per int, ends date")
+    n = n.join(F.broadcast(ends), "per").join(found.groupBy("src", "per").agg(F.count("*").alias("new_orphans")), ["src", "per"], "left")
+    return found.drop("per"), n.select("src", "ends", F.coalesce("new_orphans", F.lit(0)).alias("new_orphans"), "resolved", "reopened", "open_at_end")
+
+
+def _end(per: int, period: str) -> datetime:
+    """The start of the period after the one that starts on the day `per` (yyyymmdd)."""
+    k = per // 10_000 * 12 + per // 100 % 100 - 1 + {"month": 1, "quarter": 3, "year": 12}[period]
+    return datetime(k // 12, k % 12 + 1, 1)
+
+
 def advance(state: DataFrame, pending: DataFrame, versions: DataFrame, refs: DataFrame, until: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One step of the incremental form: the next state, the next references and what this batch reported.
 

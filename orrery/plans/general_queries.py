@@ -38,13 +38,14 @@ def versions_and_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """References without a target when they are loaded, per table and month."""
-    o = orphans.orphans(*versions_and_refs(spark, d))
+    o = orphans.ledger(*versions_and_refs(spark, d), "year")[0]
     return o.select(F.col("src").alias("src_table"), "ym", "owner_id", F.col("key").alias("ref")).distinct()
 
 
 def p4_pending(spark: SparkSession, d: str) -> DataFrame:
     """Per table and month: new orphans, and references that wait at its end."""
-    return orphans.pending_by_month(*versions_and_refs(spark, d)).select(F.col("src").alias("src_table"), "ym", "new_orphans", "open_at_end")
+    n = orphans.ledger(*versions_and_refs(spark, d), "month")[1]
+    return n.select(F.col("src").alias("src_table"), F.date_format("ends", "yyyy-MM").alias("ym"), "new_orphans", "resolved", "reopened", "open_at_end")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,10 +79,24 @@ versions AS (
   UNION ALL SELECT DISTINCT 'edge_shp', try_cast(trim(id) AS bigint), loaded_at, false, dropped_at FROM x_shp)
 """
 
-SQL = {
-    "p4_found": f"""WITH {EVENTS_SQL}, judged AS (
+_JUDGED = """judged AS (
   SELECT r.src, r.owner_id, r.key, r.t, v.key IS NULL OR v.dead OR coalesce(v.dropped <= r.t, false) AS orphan
-  FROM refs r ASOF LEFT JOIN versions v ON r.src = v.src AND r.key = v.key AND r.t >= v.at)
+  FROM refs r ASOF LEFT JOIN versions v ON r.src = v.src AND r.key = v.key AND r.t >= v.at)"""
+
+SQL = {
+    "p4_pending": f"""WITH {EVENTS_SQL}, {_JUDGED},
+times AS (SELECT src, date_trunc('month', t) AS m FROM refs UNION SELECT src, date_trunc('month', versions.at) FROM versions WHERE key IS NOT NULL),
+months AS (SELECT m, m + INTERVAL 1 MONTH - INTERVAL 1 MICROSECOND AS e FROM (SELECT DISTINCT m FROM times)),
+grid AS (SELECT * FROM (SELECT DISTINCT src, key FROM refs), months),
+states AS (SELECT g.src, g.key, g.m, v.key IS NULL OR v.dead OR coalesce(v.dropped <= g.e, false) AS open
+  FROM grid g ASOF LEFT JOIN versions v ON g.src = v.src AND g.key = v.key AND g.e >= v.at),
+n AS (SELECT src, key, date_trunc('month', t) AS m, count(*) AS c FROM refs GROUP BY ALL),
+runs AS (SELECT src, m, open, lag(open) OVER w AS was, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER w AS n FROM states LEFT JOIN n USING (src, key, m) WINDOW w AS (PARTITION BY src, key ORDER BY m)),
+counts AS (SELECT src, m, sum(CASE WHEN was AND NOT open THEN n - c ELSE 0 END) AS resolved, sum(CASE WHEN NOT was AND open THEN n - c ELSE 0 END) AS reopened, sum(CASE WHEN open THEN n ELSE 0 END) AS open_at_end FROM runs GROUP BY ALL),
+born AS (SELECT src, date_trunc('month', t) AS m, count(*) AS new_orphans FROM judged WHERE orphan GROUP BY ALL)
+SELECT src AS src_table, strftime(m, '%Y-%m') AS ym, coalesce(new_orphans, 0) AS new_orphans, CAST(resolved AS bigint) AS resolved, CAST(reopened AS bigint) AS reopened, CAST(open_at_end AS bigint) AS open_at_end
+FROM counts LEFT JOIN born USING (src, m) WHERE m >= (SELECT min(t.m) FROM times t WHERE t.src = counts.src)""",
+    "p4_found": f"""WITH {EVENTS_SQL}, {_JUDGED}
 SELECT DISTINCT src AS src_table, strftime(t, '%Y-%m') AS ym, owner_id, key AS ref FROM judged WHERE orphan""",
     "p5_found": f"""WITH {PLACES_SQL}, near AS (
   SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM places a JOIN places b ON a.id <> b.id AND b.lat BETWEEN a.lat AND a.lat + 0.0003 AND (b.lat > a.lat OR b.id > a.id)

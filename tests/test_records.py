@@ -107,6 +107,26 @@ def test_pending_and_incremental_orphans_agree(spark):
     assert found == {(a, c, d) for a, _, c, d in _brute_orphans(v, r)}
 
 
+def test_ledger_against_brute_force_and_one_pass(spark):
+    v, r = _random_events(5, 200)
+    vd, rd = _frames(spark, v, r)
+    whole = {(x.src, x.ym): (x.new_orphans, x.open_at_end) for x in orphans.pending_by_month(vd, rd).collect()}
+    for period in ("month", "quarter", "year"):
+        found, counts = orphans.ledger(vd, rd, period)
+        assert {(x.src, x.ym, x.owner_id, x.key) for x in found.collect()} == _brute_orphans(v, r) and found.count() == found.distinct().count()
+        n = counts.collect()
+        assert sum(x.new_orphans for x in n) == found.count()
+        if period == "month":
+            got = {(x.src, x.ends.strftime("%Y-%m")): (x.new_orphans, x.open_at_end) for x in n}
+            assert {k: x for k, x in got.items() if k in whole} == whole
+            assert sum(x.reopened for x in n) > 0 and sum(x.resolved for x in n) > 0
+    found, counts = orphans.ledger(vd, rd.limit(0))
+    assert found.count() == 0 and sum(x.open_at_end for x in counts.collect()) == 0
+    assert orphans.ledger(vd.limit(0), rd.limit(0))[0].count() == orphans.ledger(vd.limit(0), rd.limit(0))[1].count() == 0
+    found, counts = orphans.ledger(vd.limit(0), rd)
+    assert found.count() == rd.where("key IS NOT NULL AND t IS NOT NULL").distinct().count()
+
+
 def test_incremental_orphans_reopen(spark):
     v, r = _random_events(2, 200)
     vd, rd = _frames(spark, v, r)
