@@ -6,23 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import nested, orphans, spatial
+from orrery.plans.scratch import materialize
 from orrery.sources.tables import in_force, places, table, whole_number
 
 
+def _uploads(spark: SparkSession, d: str) -> DataFrame:
+    return in_force(table(spark, d, "osm_raw"), "rec_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """References of nested elements in the uploads."""
-    objects = nested.tree(in_force(table(spark, d, "osm_raw"), "rec_id"))
-    return nested.references(objects).select("rec_id", "parent_id", "elem_id", "pos", "ref").distinct()
+    nodes = nested.shred(_uploads(spark, d), levels=("nd",))
+    return nested.references(nodes).select("rec_id", "parent_id", "elem_id", "pos", "ref").distinct()
 
 
 def p3_elements(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of objects with an id, with their parents' ids and surrogate keys."""
-    objects = nested.tree(in_force(table(spark, d, "osm_raw"), "rec_id"))
-    return objects.where("id IS NOT NULL").select("rec_id", "path", "parent_path", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("depth").cast("bigint").alias("depth"), "id", "parent_id")
+    """The flat table of all objects and lists, with their parents' surrogate keys and ids."""
+    n = nested.shred(_uploads(spark, d)).where("kind IN ('object', 'list')")
+    return n.select("rec_id", "path", "parent_path", "field", "key", "ordinal", F.col("depth").cast("bigint").alias("depth"), "id", F.coalesce("owner_id", "above_id").alias("parent_id"))
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records by whether they can be read, with the number of their rows in all tables."""
+    n = nested.shred(_uploads(spark, d)).groupBy("rec_id").agg(F.max(F.when(F.col("path") == "$", F.col("kind"))).alias("kind"), F.count("*").alias("n"))
+    return n.groupBy("kind").agg(F.count("*").alias("records"), F.sum("n").alias("rows"))
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the array level `members`, typed by the merged schema."""
+    return nested.tables(materialize(nested.shred(_uploads(spark, d)), "nested"))["members"]
 
 
 def p3_schema(spark: SparkSession, d: str) -> DataFrame:
-    return nested.merged_schema(in_force(table(spark, d, "osm_raw"), "rec_id"))
+    """The merged schema: the array levels, their members and their types."""
+    return nested.merged_schema(nested.shred(_uploads(spark, d)))
 
 
 def versions_and_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +73,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.unionByName(inside)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_elements, p3_schema, p4_found, p4_pending, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_elements, p3_records, p3_members, p3_schema, p4_found, p4_pending, p5_found)}
 
 PLACES_SQL = """
 raw AS (SELECT try_cast(trim(id) AS bigint) AS id, lon, lat, geometry.x AS x, geometry.y AS y, srid, loaded_at FROM x_shp),

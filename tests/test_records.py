@@ -36,13 +36,93 @@ PAYLOADS = {
 
 def test_references_of_nested_elements(spark, rows):
     d = spark.createDataFrame([(k, json.dumps(v), 1) for k, v in PAYLOADS.items()] + [(5, "", 1), (6, None, 1), (7, '{"id":', 1), (8, "[1,2]", 1), (None, "{}", 1), (9, '{"id": 1}' + " " * 10000, 1)], "rec_id long, payload string, path int")
-    got = rows(nested.references(nested.tree(d)).select("rec_id", "parent_id", "elem_id", "pos", "ref"))
+    got = rows(nested.references(nested.shred(d)).select("rec_id", "parent_id", "elem_id", "pos", "ref"))
     assert got == sorted([(1, 10, 11, 0, 1), (1, 10, 11, 2, 2), (1, 10, 11, 4, 3), (1, 10, 11, 5, 4), (1, 10, 12, 0, 5), (1, 12, 13, 0, 6), (2, None, 22, 0, 7), (3, 30, 31, 0, 8), (3, 31, 32, 0, 9)], key=str)
-    assert nested.references(nested.tree(d.limit(0))).count() == 0
-    tree = nested.tree(d.where("rec_id = 1")).select("path", "parent_path", "ordinal").collect()
-    paths = {r["path"] for r in tree}
-    assert len(paths) == len(tree) and "$" in paths
-    assert "elements" in nested.merged_schema(d.where("rec_id = 1")).first()[0]
+    assert rows(nested.references(nested.shred(d, levels=("nd",))).select("rec_id", "parent_id", "elem_id", "pos", "ref")) == got
+    assert nested.references(nested.shred(d.limit(0))).count() == 0 and nested.merged_schema(nested.shred(d.limit(0))).count() == 0
+    tree = nested.shred(d).collect()
+    assert {(r["rec_id"], r["kind"]) for r in tree if r["rec_id"] in (5, 6, 7, 8)} == {(5, "empty"), (6, "empty"), (7, "unreadable"), (8, "unreadable")}
+    one = [r for r in tree if r["rec_id"] == 1]
+    assert len({r["path"] for r in one}) == len(one) and {r["parent_path"] for r in one} - {None} <= {r["path"] for r in one}
+    # A repeated key, a number past 64 bits, a half of a surrogate pair, lists within lists.
+    odd = spark.createDataFrame([(1, '{"id": 1, "e": [{"id": 2, "nd": [3], "nd": [4]}, {"id": 99999999999999999999, "nd": [5]}, {"id": 7, "nd": [[8], 9], "note": "\\ud800", "id": 70}]}')], "rec_id long, payload string")
+    assert rows(nested.references(nested.shred(odd)).select("elem_id", "pos", "ref")) == [(2, 0, 3), (2, 0, 4), (7, 1, 9)]
+    assert nested.shred(odd).where("members['id#2'] = '70'").count() == 1
+
+
+def test_tables_by_the_merged_schema(spark, rows):
+    d = spark.createDataFrame([(1, '{"id": 1, "sent": {"by": "x"}, "lines": [{"no": 1, "w": 1.5, "tags": {"a": 1}}, {"no": "2", "ok": true}, 7, null]}'), (2, '{"id": 2, "lines": 5}'), (3, '{"lines": {"no": 3, "path": "p"}}')], "rec_id long, payload string")
+    n = nested.shred(d)
+    schema = {(r["field"], r["member"]): (r["type"], r["n"], r["of"], r["optional"]) for r in nested.merged_schema(n).collect()}
+    assert schema[None, "id"] == ("bigint", 2, 3, True) and schema["lines", "no"] == ("bigint", 3, 3, False) and schema["lines", "w"] == ("double", 1, 3, True) and schema["lines", "ok"] == ("boolean", 1, 3, True)
+    assert schema["lines", None] == ("entry|object", 5, 3, False) and schema["sent", "by"] == ("string", 1, 1, False)
+    t = nested.tables(n)
+    assert set(t) == {"records", "sent", "lines"}
+    got = sorted((r["rec_id"], r["ordinal"], r["owner_id"], r["value"], r["no"], r["w"], r["ok"], r["_path"]) for r in t["lines"].collect() if r["value"] is not None or r["no"])
+    assert got == [(1, 0, 1, None, 1, 1.5, None, None), (1, 1, 1, None, 2, None, True, None), (1, 2, 1, "7", None, None, None, None), (2, 0, 2, "5", None, None, None, None), (3, 0, None, None, 3, None, None, "p")]
+    assert t["lines"].where("tags = '{\"a\": \"1\"}'").count() == 1
+    # Every parent key is in a table.
+    keys = {(r["rec_id"], r["path"]) for x in t.values() for r in x.collect()}
+    assert {(r["rec_id"], r["parent_path"]) for x in t.values() for r in x.collect() if r["parent_path"]} <= keys
+
+
+def _twin(v, parent=None, depth=0):
+    """References by plain recursion over parsed records."""
+
+    def opened(x):
+        if isinstance(x, str) and x.strip()[:1] in ("[", "{"):
+            try:
+                return json.loads(x)
+            except ValueError:
+                pass
+        return x
+
+    def number(x):
+        return int(x) if isinstance(x, (int, float)) and not isinstance(x, bool) or isinstance(x, str) and x.strip().isdigit() else None
+
+    if isinstance(v, list):
+        for x in v:
+            yield from _twin(opened(x), parent, depth + 1)
+    if isinstance(v, dict):
+        o = {}
+        for k, x in v.items():
+            o.setdefault(k.lstrip("@_#"), opened(x))
+        own = number(o.get("id"))
+        if depth and own is not None and o.get("nd") is not None:
+            for k, e in enumerate(o["nd"] if isinstance(o["nd"], list) else [o["nd"]]):
+                e = opened(e)
+                r = number({a.lstrip("@_#"): b for a, b in reversed(e.items())}.get("ref")) if isinstance(e, dict) else number(e)
+                if r is not None:
+                    yield parent, own, k, r
+        for k, x in o.items():
+            if k != "tags":
+                yield from _twin(x, own if own is not None else parent, depth + 1)
+
+
+def test_references_against_plain_recursion(spark):
+    rng = np.random.default_rng(7)
+    pick = lambda *a: a[int(rng.integers(len(a)))]
+
+    def node(depth):
+        o = {pick("id", "_id", "@id"): pick(int(rng.integers(1000)), str(rng.integers(1000)), None, "no", True, 2.5) if rng.random() < 0.9 else {"x": 1}}
+        if rng.random() < 0.7:
+            nd = [pick({"ref": int(rng.integers(99))}, {"_ref": "5"}, 7, "8", None, {"note": 1}, json.dumps({"ref": 6}), [1], {"ref": {"id": 1}}) for _ in range(int(rng.integers(4)))]
+            o[pick("nd", "_nd")] = pick(nd, nd, json.dumps(nd), nd[0] if nd else None, {"ref": 3}, {})
+        o["tags"] = {"id": 1, "nd": [1]}
+        for f in ("members", "inner", "list"):
+            if depth < 6 and rng.random() < 0.5:
+                kids = [node(depth + 1) for _ in range(int(rng.integers(3)))]
+                o[f] = pick(kids, kids, {f"k{k}": x for k, x in enumerate(kids)}, json.dumps(kids), kids[0] if kids else [], [kids])
+        return o
+
+    # One deep chain besides: far deeper than anything that calls itself would like.
+    deep = {"id": 1, "nd": [1]}
+    for k in range(400):
+        deep = {"id": k, "m": [deep]}
+    all_ = [node(0) for _ in range(150)] + [deep]
+    d = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(all_)], "rec_id long, payload string")
+    got = sorted((tuple(r) for r in nested.references(nested.shred(d)).select("rec_id", "parent_id", "elem_id", "pos", "ref").collect()), key=str)
+    assert got == sorted(((k, *x) for k, v in enumerate(all_) for x in _twin(v)), key=str) and len(got) > 200
 
 
 def _brute_orphans(versions, refs):
