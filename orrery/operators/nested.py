@@ -84,6 +84,19 @@ def _whole(v) -> int | None:
     return None
 
 
+_BARE: dict[str, str] = {}
+
+
+def _bare(key: str) -> str:
+    """A key without the marks before its first letter or digit."""
+    got = _BARE.get(key)
+    if got is None:
+        if len(_BARE) > 100_000:
+            _BARE.clear()
+        got = _BARE[key] = _MARKS.sub("", key)
+    return got
+
+
 def _walk(rec_id, top: _Pairs, skip: frozenset[str], wanted: frozenset[str] | None) -> Iterator[tuple]:
     """Rows of one record. A stack and no recursion, so depth costs nothing here."""
     # value, kind, path, parent_path, field, key, ordinal, depth, id of the object that holds it, id above that, its depth
@@ -99,19 +112,26 @@ def _walk(rec_id, top: _Pairs, skip: frozenset[str], wanted: frozenset[str] | No
             elif wanted is None or field in wanted:
                 yield (rec_id, "entry", path, parent, field, key, ordinal, depth, None, owner, above, owner_depth, _text(v), None)
             continue
-        own, members, below, seen, names = None, {}, [], {}, set()
+        own, members, below, seen, plain = None, {}, [], {}, False
         for place, (k, x) in enumerate(v):
-            bare = _MARKS.sub("", k)
-            x = _opened(x)
+            bare = _bare(k)
+            if type(x) is str:
+                x = _opened(x)
             at = seen[k] = seen.get(k, 0) + 1
             step = k if at == 1 else f"{k}#{at}"
             if bare in skip:
+                if wanted is not None:
+                    plain = True
+                    continue
                 members.setdefault(bare, json.dumps(_plain(x), ensure_ascii=True) if isinstance(x, list) else _text(x))
             elif isinstance(x, list):
                 below.append((x, step, bare, place))
             else:
                 if bare == "id" and own is None:
                     own = _whole(x)
+                if wanted is not None and field not in wanted and bare not in wanted:
+                    plain = True
+                    continue
                 name, n = bare, 1
                 while name in members:
                     n += 1
@@ -122,7 +142,7 @@ def _walk(rec_id, top: _Pairs, skip: frozenset[str], wanted: frozenset[str] | No
         # The nearest enclosing object with an id, for what is below this one; and for this one's own levels what stands above it.
         up = owner if owner is not None else above
         # An object of nothing but objects stands in place of a list: its members are entries of the level, under their keys.
-        keyed = bool(below) and not members and field is not None and all(isinstance(x, _Pairs) for x, *_ in below)
+        keyed = bool(below) and not members and not plain and field is not None and all(isinstance(x, _Pairs) for x, *_ in below)
         for x, step, bare, place in below:
             f, k = (field, step) if keyed else (bare, None)
             if isinstance(x, _Pairs):
