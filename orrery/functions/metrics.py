@@ -92,6 +92,11 @@ METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
 OWN_WEIGHT = ("correlation", "cosine", "pearson_r", "pearson")
 
 
+def minkowski(p: float) -> Callable:
+    """The Minkowski distance of any order p >= 1."""
+    return lambda a, b: _sum(a, b, lambda s, t: np.abs(s - t) ** p) ** (1 / p)
+
+
 def rbf(gamma: float) -> Callable:
     return lambda a, b: np.maximum(np.exp(-gamma * _sum(a, b, lambda p, q: (p - q) ** 2)), 0.01)
 
@@ -99,9 +104,3 @@ def rbf(gamma: float) -> Callable:
 def euclidean(x: Column, y: Column) -> Column:
     """Distance of two array columns of equal length."""
     return F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
-
-
-def cosine(x: Column, y: Column) -> Column:
-    """1 - cosine; null for a zero vector."""
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    return 1 - F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))

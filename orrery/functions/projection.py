@@ -19,7 +19,7 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / MERCATOR_RADIUS), F.degrees(2 * F.atan(F.exp(y / MERCATOR_RADIUS)) - math.pi / 2)
 
 
-def to_transverse_mercator(lon: Column, lat: Column, meridian: float = 117.0, a: float = 6378140.0, f: float = 1 / 298.257, k0: float = 1.0, false_easting: float = 500_000.0) -> tuple[Column, Column]:
+def to_transverse_mercator(lon: Column, lat: Column, meridian: float = 117.0, a: float = 6378245.0, f: float = 1 / 298.3, k0: float = 1.0, false_easting: float = 500_000.0) -> tuple[Column, Column]:
     """Gauss-Krueger metres (easting, northing) about a meridian, by Krueger's series on the given ellipsoid. No shift of datum is applied, which can be
     some tens of metres."""
     n = f / (2 - f)
@@ -34,3 +34,14 @@ def to_transverse_mercator(lon: Column, lat: Column, meridian: float = 117.0, a:
         x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return k0 * big * x + false_easting, k0 * big * y
+
+
+def project(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
+    """Coordinates in one of the reference systems 4326 (degrees), 3857 (spherical mercator) and 2436 (Gauss-Krueger about 117 degrees east, without its shift of datum)."""
+    if epsg == 4326:
+        return lon, lat
+    if epsg == 3857:
+        return to_mercator(lon, lat)
+    if epsg == 2436:
+        return to_transverse_mercator(lon, lat)
+    raise ValueError(f"no projection for epsg {epsg}")

@@ -291,20 +291,97 @@ def compare_graphs(true: DataFrame, others: dict[str, DataFrame], nodes: int) ->
     return out
 
 
-#: Inverse least weights of each metric's graph, for the series of spin glass, branching and Ising dynamics on the ring of cliques.
-THRESHOLDS = {"euclidean": (62, 13.5, 31.5), "mahalanobis_pair": (2900, 130, 720), "minkowski3": (20, 5.6, 9.9), "manhattan": (2050, 185, 1025), "chebyshev": (2, 11, 1), "canberra": (1000, 1450, 1025)}
-
-
-def experiment(edges: DataFrame, nodes: int, metric: str, length: int = 2001, seed: int = 1) -> DataFrame:
-    """(name, metric, value): graphs rebuilt from simulated series of three dynamics by one metric, compared with the graph itself."""
-    from orrery.operators.graphs import clean_points, metric_graph
-    from orrery.plans.scratch import materialize
+#: For each metric the least weights of the graphs of spin glass, branching and Ising series, for the ring of cliques, the grid and the tree. Distances, knn: the
+#: inverse of the least weight; cosine, pearson: the least weight; rbf: the least weight and gamma; enn: the radius.
+THRESHOLDS = {
+    "euclidean": ((62, 13.5, 31.5), (63, 13, 31.5), (62.5, 23.5, 31)),
+    "mahalanobis_pair": ((2900, 130, 720), (2900, 130, 720), (2800, 300, 700)),
+    "minkowski3": ((20, 5.6, 9.9), (19.65, 5.6, 9.95), (19.5, 7.5, 10)),
+    "manhattan": ((2050, 185, 1025), (2050, 175, 1025), (2000, 450, 980)),
+    "chebyshev": ((2, 11, 1), (2, 11.5, 1), (2, 11.5, 1)),
+    "canberra": ((1000, 1450, 1025), (1025, 1450, 1025), (1000, 1450, 950)),
+    "cosine": ((0.5, 0.5, 0.45), (0.75, 0.85, 0.475), (0.65, 0.65, 0.45)),
+    "pearson": ((0.5, 0.5, 0.5), (0.5, 0.5, 0.5), (0.5, 0.15, 0.5)),
+    "rbf": (((0.0125, 0.00125), (0.6, 0.0025), (0.1, 0.0025)), ((0.0125, 0.00125), (0.79, 0.00125), (0.1, 0.0025)), ((0.012, 0.0025), (0.45, 0.0025), (0.125, 0.0025))),
+    "knn": ((60, 14, 31), (62, 13.5, 30), (62, 22.5, 32.5)),
+    "enn": ((60, 14, 31), (62, 13.5, 30), (62, 22.5, 32.5)),
+}
+#: Neighbours of the knn graphs of series.
+SERIES_NEIGHBORS = 15
+
+
+def series_graph(ts: DataFrame, metric: str, at) -> DataFrame:
+    """(u, v, w): the graph of series by one of THRESHOLDS' metrics and its threshold."""
+    from orrery.operators.graphs import epsilon_graph, knn_distance_graph, metric_graph
+
+    if metric == "knn":
+        return knn_distance_graph(ts, SERIES_NEIGHBORS, 1 / at)
+    if metric == "enn":
+        return epsilon_graph(ts, at)
+    if metric == "rbf":
+        return metric_graph(ts, metric, *at)
+    return metric_graph(ts, metric, at if metric in ("cosine", "pearson") else 1 / at)
+
+
+def experiment(edges: DataFrame, nodes: int, metric: str, length: int = 2001, seed: int = 1, graph: str = "cliques") -> DataFrame:
+    """(name, metric, value): graphs rebuilt from simulated series of three dynamics by one metric, compared with the graph itself. graph says whose thresholds are taken."""
+    from orrery.operators.graphs import clean_points
 
     g = edges.withColumn("graph", F.lit(0).cast("bigint"))
     others = {}
-    for model, inverse in zip(("spin_glass", "branching", "ising"), THRESHOLDS[metric]):
+    for model, at in zip(("spin_glass", "branching", "ising"), THRESHOLDS[metric][("cliques", "grid", "tree").index(graph)]):
         ts = materialize(clean_points(simulate(g, model, length, seed).select(F.col("node").alias("id"), "x")), "series")
-        found = materialize(metric_graph(ts, metric, 1 / inverse), "found")
+        found = materialize(series_graph(ts, metric, at), "found")
         if not found.isEmpty():
             others[model] = found
     return compare_graphs(edges, others, nodes)
+
+
+def graphical_lasso(points: DataFrame, penalty: float, rounds: int = 2_000, exact: float = 1e-9) -> DataFrame:
+    """(u, v, w): partial correlations of each two series by the graphical lasso: the inverse covariance of the standardized series with an L1 penalty on its entries beside the
+    diagonal. Pairs whose entry is 0 have no row.
+
+    Series whose correlations are all within the penalty fall into groups that the solution keeps apart, exactly; so correlations are compared block by block, and each
+    group of linked series is solved by itself, of at most MOST_NODES series. Series without variation, and those of a group of one, have no links.
+    """
+    from orrery.operators.components import connected_components
+    from orrery.operators.graphs import pairs
+
+    spark = points.sparkSession
+    p = materialize(points.where("id IS NOT NULL").select("id", F.col("x").cast("array<double>").alias("x")), "lasso-points")
+    linked = materialize(pairs(p, "pearson_r").where(F.abs("d") > penalty).select("u", "v"), "lasso-links")
+    groups = materialize(connected_components(linked), "lasso-groups")
+    most = groups.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > MOST_NODES:
+        raise ValueError(f"at most {MOST_NODES} series may hang together: take a larger penalty")
+    if not most:
+        return spark.createDataFrame([], "u bigint, v bigint, w double")
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("id")
+        x = np.stack(d["x"].to_numpy())
+        c = np.corrcoef(x)
+        n = len(c)
+        off = penalty * (1 - np.eye(n))
+        z, dual, rho = np.diag(1 / np.diag(c)), np.zeros((n, n)), 1.0
+        for k in range(rounds):
+            # Alternating directions: the likelihood by eigenvalues, the penalty by shrinking entries.
+            e, q = np.linalg.eigh(rho * (z - dual) - c)
+            t = (q * ((e + np.sqrt(e * e + 4 * rho)) / (2 * rho))) @ q.T
+            old = z
+            a = t + dual
+            z = np.sign(a) * np.maximum(np.abs(a) - off / rho, 0)
+            dual = a - z
+            gap, step = np.abs(t - z).max(), rho * np.abs(z - old).max()
+            if max(gap, step) < exact:
+                break
+            if k % 10 == 9:
+                f = 2.0 if gap > 10 * step else 0.5 if step > 10 * gap else 1.0
+                rho, dual = rho * f, dual / f
+        w = -z / np.sqrt(np.outer(np.diag(z), np.diag(z)))
+        i, j = np.nonzero(np.triu(z, 1))
+        ids = d["id"].to_numpy()
+        return pd.DataFrame({"u": ids[i], "v": ids[j], "w": w[i, j]})
+
+    g = groups.join(p, groups["node"] == p["id"]).select("component", "id", "x")
+    return g.groupBy("component").applyInPandas(run, "u bigint, v bigint, w double")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.plans.scratch import materialize
+
 TINY, SMALL_PART = 1e-10, 1e-5
 
 
@@ -51,6 +53,12 @@ def entropy_1d(edges: DataFrame, weighted: bool = True) -> DataFrame:
     return d.agg((F.log2(F.sum("degree")) - F.sum(F.col("degree") * F.log2("degree")) / F.sum("degree")).alias("h1"))
 
 
+def entropy_1d_terms(edges: DataFrame) -> DataFrame:
+    """(node, term): what each node adds to the one-dimensional entropy, -p log2 p by plog()."""
+    d = degree(edges)
+    return d.join(F.broadcast(d.agg(F.sum("degree").alias("total")))).select("node", (-plog(F.col("degree") / F.col("total"))).alias("term"))
+
+
 def ends(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """(cid, other, w): each edge from both of its ends. Nodes without a part are parts of their own, numbered below -1."""
     p = partition.select("node", "cid")
@@ -76,7 +84,8 @@ def _cut(cut: str) -> str:
 
 
 def _with_total(parts: DataFrame) -> DataFrame:
-    """parts with the volume of the graph, from the parts themselves."""
+    """parts with the volume of the graph, from the parts themselves, which are made once."""
+    parts = materialize(parts, "parts")
     return parts.join(F.broadcast(parts.agg(F.sum("vol").alias("total"))))
 
 
@@ -139,6 +148,14 @@ def gain_rate(vi, vj, gi, gj, m, total):
     return rp(vi, gi) + rp(vj, gj) - rp(vi + vj, gi + gj - 2 * m)
 
 
+def gain_flow(vi, vj, gi, gj, m, total, cuts):
+    """Change of the two-level map equation's codelength by merging two parts, where all parts' cuts add up to `cuts`: negative where merging pays."""
+    p = lambda c: F.when(c > 1e-15, c * F.log2(c)).otherwise(0.0)
+    t, gij = F.lit(total), gi + gj - 2 * m
+    s = -2 * (p(gij / t) - p(gi / t) - p(gj / t)) + p((gij + vi + vj) / t) - p((gi + vi) / t) - p((gj + vj) / t)
+    return s + p((F.lit(cuts) - 2 * m) / t) - p(F.lit(cuts) / t)
+
+
 GAINS = {"di": (gain_di, "count"), "entropy": (gain_entropy, "weight"), "rate": (gain_rate, "weight")}
 
 

@@ -45,9 +45,11 @@ class InformationClustering:
             e = graphs.rbf_graph(points, self.threshold, self.gamma)
         else:
             raise ValueError(f"affinity must be one of {AFFINITIES}")
+        # Edges that repair or join a kernel graph have weights by the gamma as it is given.
+        gamma = self.gamma if self.affinity == "rbf" else None
         e = materialize(e.select("u", "v", "w"), "fit-graph")
-        e = materialize(e.unionByName(graphs.repair(points, e)), "fit-repaired")
-        return materialize(e.unionByName(graphs.bridge(points, e)), "fit-joined") if self.join_components else e
+        e = materialize(e.unionByName(graphs.repair(points, e, gamma)), "fit-repaired")
+        return materialize(e.unionByName(graphs.bridge(points, e, gamma)), "fit-joined") if self.join_components else e
 
     def _prior(self, points: DataFrame, edges: DataFrame) -> DataFrame | None:
         if self.prior == "kmeans":
@@ -80,6 +82,28 @@ class InformationClustering:
         return self.edges_.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in self.scores_.items()], "metric string, value double")
 
 
+def prior_experiment(points: DataFrame, edges: DataFrame, prior: str, steps: int = 100, n_clusters: int = 8, eps: float = 1.0, min_samples: int = 5) -> DataFrame:
+    """(metric, value): what a prior partition of a graph decodes before and after `steps` of greedy merging, and by one-dimensional entropy. prior 'kmeans' and 'dbscan' are refined
+    by flow_partition() from what they give; 'flow' starts from single nodes."""
+    edges = materialize(edges.select("u", "v", "w"), "experiment-edges")
+    start = None
+    if prior == "kmeans":
+        start = priors.as_partition(priors.kmeans(points, n_clusters))
+    elif prior == "dbscan":
+        start = priors.as_partition(priors.dbscan(points, graphs.radius_pairs(points, eps), min_samples))
+    elif prior != "flow":
+        raise ValueError(f"no such prior: {prior}")
+    if start is not None:
+        nodes = partition.singletons(edges).select("node")
+        start = materialize(start.join(nodes, "node", "left_semi"), "experiment-prior")
+    flow = materialize(priors.flow_partition(edges, start), "experiment-flow")
+    best = materialize(partition.greedy_steps(edges, flow, steps)[0], "experiment-best")
+    h = entropy.entropy_2d(edges, best, "count").first()
+    before, after = entropy.total_di(edges, flow).first()[0], entropy.total_di(edges, best).first()[0]
+    rows = [("h1", h["h1"]), ("prior_di", before), ("di", after), ("di_rate", after / h["h1"] if h["h1"] else None), ("n_parts", best.select("cid").distinct().count())]
+    return edges.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "metric string, value double")
+
+
 def reduce_dimensions(points: DataFrame, k: int = 2) -> DataFrame:
     """(id, x): principal components after centering; points as they are where they have no more than k dimensions. The sign of a component is arbitrary."""
     from pyspark.ml.feature import PCA

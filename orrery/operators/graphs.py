@@ -2,7 +2,7 @@
 
 Points are (id BIGINT, x ARRAY<DOUBLE>), edges (u, v, w) with u < v, once each. Rows with a null id, a null or empty vector, or a null or NaN
 entry are no points. Pairs are compared in blocks: points fall into blocks by a hash of their id, each pair of blocks is one group of bounded
-size, and only what is asked for leaves it. For points of at most three dimensions radius() uses cells instead of all pairs.
+size, and only what is asked for leaves it. Points of at most three dimensions are looked up in cells instead, in all but the metric graphs.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -119,7 +119,7 @@ def fitted(points: DataFrame, metric: str, bins: int = 1000) -> DataFrame:
     return s.select(F.explode(F.array(F.struct(F.lit("norm").alias("family"), F.col("mean").alias("location"), F.col("sd").alias("scale")), F.struct(F.lit("laplace").alias("family"), F.col("median").alias("location"), F.col("mad").alias("scale")))).alias("f")).select("f.*")
 
 
-def metric_graph(points: DataFrame, metric: str, least: float, gamma: float | None = None) -> DataFrame:
+def metric_graph(points: DataFrame, metric: str | Callable, least: float, gamma: float | None = None) -> DataFrame:
     """(u, v, w): the pairs whose weight is at least `least`.
 
     The weight of a distance d is 1/d, or the greatest distance of all pairs where d <= 1e-5; of similarity measures in OWN_WEIGHT it is the value
@@ -127,19 +127,95 @@ def metric_graph(points: DataFrame, metric: str, least: float, gamma: float | No
     """
     from orrery.functions.metrics import rbf
 
-    f = rbf(gamma) if metric == "rbf" and gamma is not None else METRICS[metric]
+    f = metric if callable(metric) else rbf(gamma) if metric == "rbf" and gamma is not None else METRICS[metric]
     if metric in OWN_WEIGHT:
         return pairs(points, f, low=least).select("u", "v", F.col("d").alias("w"))
     near = pairs(points, f, high=max(1 / least if least > 0 else math.inf, EPS))
     if metric == "rbf":
         return near.select("u", "v", (1 / F.col("d")).alias("w")).where(F.col("w") >= least)
+    near = materialize(near, "metric-pairs")
+    if near.where(F.col("d") <= EPS).isEmpty():
+        return near.select("u", "v", (1 / F.col("d")).alias("w")).where(F.col("w") >= least)
+    # Only pairs at no distance need the greatest one, which takes a second pass over all pairs.
     top = pair_range(points, f).select(F.col("high").alias("top"))
     w = F.when(F.col("d") <= EPS, F.col("top")).otherwise(1 / F.col("d"))
     return near.join(F.broadcast(top)).select("u", "v", w.alias("w")).where(F.col("w") >= least)
 
 
+#: Dimensions up to which points are looked up in cells.
+CELL_DIMS = 3
+
+
+def _dims(points: DataFrame) -> int:
+    return points.select(F.max(F.size("x"))).first()[0] or 1
+
+
+def _cells(p: DataFrame, r: float, dims: int, around: bool) -> DataFrame:
+    """p with the columns c0, c1, ... of the cell of width r of each point, or of all cells around it."""
+    at = [F.floor(F.get("x", F.lit(k)) / r) for k in range(dims)]
+    if not around:
+        return p.select("*", *[c.alias(f"c{k}") for k, c in enumerate(at)])
+    every = F.explode(F.array(*[F.struct(*[(c + o).alias(f"c{k}") for k, (c, o) in enumerate(zip(at, off))]) for off in itertools.product((-1, 0, 1), repeat=dims)]))
+    return p.select("*", every.alias("_c")).select("*", "_c.*").drop("_c")
+
+
+def _spread(points: DataFrame, k: int, dims: int) -> tuple[float, float]:
+    """A first width of cells, well below the mean distance of k-th neighbours, and the diagonal of all points."""
+    got = points.agg(F.count("*").alias("n"), *[f(F.get("x", F.lit(i))).alias(f"{a}{i}") for i in range(dims) for a, f in (("lo", F.min), ("hi", F.max))]).first()
+    sides = [(got[f"hi{i}"] or 0.0) - (got[f"lo{i}"] or 0.0) for i in range(dims)]
+    diagonal = math.sqrt(sum(x * x for x in sides))
+    return (max(sides) / max(1.0, (got["n"] / k) ** (1 / dims)) / 8 or 1.0), diagonal
+
+
+def _nearest_in_cells(queries: DataFrame, points: DataFrame, k: int, dims: int, condition: Column | None = None) -> DataFrame:
+    """(id, other, d, rank): of each query (id, x, ...) its k nearest points (other, x, ...) that meet a condition on the columns of both, in which those of a query begin with q_.
+
+    Rings of cells: cells begin narrow; a query that has k points within their width is done, the others go on with cells twice as wide. So crowded places are done
+    before cells get wide, and every round joins fewer queries; each round keeps k rows a query.
+    """
+    from orrery.functions.metrics import euclidean
+
+    r, diagonal = _spread(points.select("x").unionByName(queries.select("x")), k, dims)
+    todo = queries.select(*[F.col(c).alias("q_" + c) for c in queries.columns])
+    done: list[DataFrame] = []
+    while True:
+        q = _cells(todo.withColumn("x", F.col("q_x")), r, dims, True).drop("x")
+        j = q.join(_cells(points, r, dims, False), [f"c{i}" for i in range(dims)])
+        if condition is not None:
+            j = j.where(condition)
+        j = j.select("q_id", "other", euclidean(F.col("q_x"), F.col("x")).alias("d"))
+        top = j.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy("d", "other"))).where(F.col("rank") <= k)
+        top = materialize(top, "nearest-cells")
+        if r > diagonal:
+            done.append(top)
+            break
+        sure = top.where((F.col("rank") == k) & (F.col("d") <= r)).select("q_id")
+        done.append(top.join(sure, "q_id", "left_semi"))
+        todo = materialize(todo.join(sure, "q_id", "left_anti"), "nearest-open")
+        if todo.isEmpty():
+            break
+        r *= 2
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select(F.col("q_id").alias("id"), "other", "d", "rank")
+
+
+def _nearest_places(points: DataFrame, k: int, dims: int) -> DataFrame:
+    """nearest() in cells. Of points at one place only the k + 1 with the smallest ids can be anyone's neighbours; the others have those of the last of these."""
+    c = materialize(points.select("id", "x", F.row_number().over(W.partitionBy("x").orderBy("id")).alias("copy")), "nearest-copies")
+    few = c.where(F.col("copy") <= k + 1).select("id", "x")
+    got = _nearest_in_cells(few, few.withColumnRenamed("id", "other"), k, dims, F.col("q_id") != F.col("other"))
+    last = c.where(F.col("copy") == k + 1).select("x", F.col("id").alias("rep"))
+    more = c.where(F.col("copy") > k + 1).select("id", "x").join(last, "x").select("id", "rep")
+    return got.unionByName(more.join(got.withColumnRenamed("id", "rep"), "rep").select("id", "other", "d", "rank"))
+
+
 def nearest(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    """(id, other, d, rank): the k nearest others of each point; equal distances: smaller id first. Each block gives its best k first."""
+    """(id, other, d, rank): the k nearest others of each point; equal distances: smaller id first. Euclidean ones of up to three dimensions are looked up in rings of
+    cells; else all pairs are compared, and each block gives its best k first."""
+    if metric == "euclidean" and (dims := _dims(points)) <= CELL_DIMS:
+        return _nearest_places(points, k, dims)
     f = METRICS[metric]
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +245,11 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
 
 
 def nearest_of(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """(id, other, d): for each query point the nearest of the others (equal distances: smaller id). Queries meet the points block by block."""
+    """(id, other, d): for each query point the nearest of the others (equal distances: smaller id). Up to three dimensions by rings of cells, else queries meet the
+    points block by block."""
+    if (dims := _dims(points)) <= CELL_DIMS:
+        few = points.groupBy("x").agg(F.min("id").alias("other"))
+        return _nearest_in_cells(queries.select("id", "x"), few, 1, dims).select("id", "other", "d")
     tagged = queries.select((-F.col("id") - 1).alias("id"), "x").unionByName(points.select("id", "x"))
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
@@ -192,14 +272,11 @@ def nearest_of(queries: DataFrame, points: DataFrame) -> DataFrame:
 
 def radius_pairs(points: DataFrame, r: float) -> DataFrame:
     """(u, v, d): pairs at most r apart, which counts. Up to three dimensions by an equi-join on cells of width r; else block by block."""
-    dims = points.select(F.max(F.size("x"))).first()[0] or 1
-    if dims > 3:
+    dims = _dims(points)
+    if dims > CELL_DIMS or r <= 0:
         return pairs(points, "euclidean", high=r)
-    cell = F.transform("x", lambda e: F.floor(e / r))
-    p = points.select("id", "x", cell.alias("c"))
-    around = F.explode(F.array(*[F.struct(*[(F.get("c", k) + o).alias(f"c{k}") for k, o in enumerate(off)]) for off in itertools.product((-1, 0, 1), repeat=dims)]))
-    left = p.select("id", "x", around.alias("k")).select(F.col("id").alias("u"), F.col("x").alias("xu"), "k.*")
-    right = p.select(F.col("id").alias("v"), F.col("x").alias("xv"), *[F.get("c", k).alias(f"c{k}") for k in range(dims)])
+    left = _cells(points.select("id", "x"), r, dims, True).withColumnsRenamed({"id": "u", "x": "xu"})
+    right = _cells(points.select("id", "x"), r, dims, False).withColumnsRenamed({"id": "v", "x": "xv"})
     from orrery.functions.metrics import euclidean
 
     j = left.join(right, [f"c{k}" for k in range(dims)]).where("u < v").withColumn("d", euclidean(F.col("xu"), F.col("xv")))
@@ -225,28 +302,107 @@ def rbf_graph(points: DataFrame, least: float, gamma: float | None = None, gamma
     return radius_pairs(points, max(r, 1e-12) * (1 + 1e-12)).select("u", "v", F.exp(-g * F.col("d") * F.col("d")).alias("w"), "d").where(F.col("w") >= least)
 
 
-def prune(edges: DataFrame, longest: float) -> DataFrame:
-    """Edges (u, v, w, d) without the long ones, but for the nearest long edge of a node that has no short one, whose weight is 1/(d + 1e-5)."""
+#: Most long edges that prune(mode="exact") plays through on the driver.
+MOST_LONG = 2_000_000
+
+
+def prune(edges: DataFrame, longest: float, mode: str = "declarative") -> DataFrame:
+    """Edges (u, v, w, d) without the long ones, but for the nearest long edge of a node that has no short one, whose weight is 1/(d + 1e-5).
+
+    mode='exact' takes the nodes one after another by number, each by what the ones before have left: a node of several edges drops its long ones, and if it had no
+    other it keeps one, the nearest. A node with a single edge keeps it. Short edges never go, so only the long ones are played through, in one place; more than MOST_LONG raise.
+    """
+    if mode == "exact":
+        return _prune_in_order(edges, longest)
     short = edges.where(F.col("d") <= longest)
     ends = edges.select("u", "v", "d", F.explode(F.array("u", "v")).alias("node"))
     alone = ends.groupBy("node").agg(F.min(F.struct("d", "u", "v")).alias("m")).where(F.col("m.d") > longest).select("m.u", "m.v", "m.d").distinct()
     return short.unionByName(alone.select("u", "v", (1 / (F.col("d") + EPS)).alias("w"), "d"))
 
 
+def _prune_in_order(edges: DataFrame, longest: float) -> DataFrame:
+    short = edges.where(F.col("d") <= longest)
+    rows = edges.where(F.col("d") > longest).select("u", "v", "d").limit(MOST_LONG + 1).collect()
+    if len(rows) > MOST_LONG:
+        raise ValueError(f"more than {MOST_LONG} long edges: use the declarative mode")
+    near: dict[int, dict[int, float]] = {}
+    for r in rows:
+        near.setdefault(r["u"], {})[r["v"]] = near.setdefault(r["v"], {})[r["u"]] = r["d"]
+    nodes = edges.sparkSession.createDataFrame([(n,) for n in near], "node bigint")
+    of = short.select(F.explode(F.array("u", "v")).alias("node")).join(F.broadcast(nodes), "node", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+    shorts = {r["node"]: r["n"] for r in of.collect()}
+    again = set()
+    for n in sorted(near):
+        if len(near[n]) + shorts.get(n, 0) < 2 or not near[n]:
+            continue
+        keep = None if shorts.get(n) else min(near[n], key=lambda o: (near[n][o], o))
+        for o in [o for o in near[n] if o != keep]:
+            del near[n][o], near[o][n]
+            again.discard((min(n, o), max(n, o)))
+        if keep is not None:
+            again.add((min(n, keep), max(n, keep)))
+    left = [(n, o, d, (n, o) in again) for n in near for o, d in near[n].items() if n < o]
+    kept = edges.sparkSession.createDataFrame(left, "u bigint, v bigint, d double, again boolean").join(edges.select("u", "v", "w"), ["u", "v"])
+    return short.unionByName(kept.select("u", "v", F.when(F.col("again"), 1 / (F.col("d") + EPS)).otherwise(F.col("w")).alias("w"), "d"))
+
+
 def isolated(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, x): points without an edge."""
     ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     return points.join(ends, "id", "left_anti")
 
 
-def repair(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(u, v, w): one edge for each isolated point: to the nearest point that has edges or is isolated itself with a smaller id; w = 1/(d + 1e-5)."""
+def rbf_weight(d: Column, gamma: float) -> Column:
+    """The weight of an edge that repairs or joins a kernel graph: sqrt(ln(exp(-gamma d^2) + 1e-5) / -gamma) / (d + 1e-5); 0 where the root would be of a negative number."""
+    inner = F.log(F.exp(-gamma * d * d) + EPS) / -gamma
+    return F.sqrt(F.greatest(inner, F.lit(0.0))) / (d + EPS)
+
+
+def _weight(d: Column, gamma: float | None) -> Column:
+    return 1 / (d + EPS) if gamma is None else rbf_weight(d, gamma)
+
+
+def repair(points: DataFrame, edges: DataFrame, gamma: float | None = None) -> DataFrame:
+    """(u, v, w): one edge for each isolated point: to the nearest point that has edges or is isolated itself with a smaller id; w = 1/(d + 1e-5), for a kernel graph with its
+    gamma rbf_weight()."""
     alone = materialize(isolated(points, edges), "repair")
+    if (dims := _dims(points)) <= CELL_DIMS:
+        tagged = points.select(F.col("id").alias("other"), "x").join(alone.select(F.col("id").alias("other"), F.lit(True).alias("alone")), "other", "left")
+        # The first isolated point finds nobody if no point has edges.
+        best = _nearest_in_cells(alone, tagged, 1, dims, (F.col("q_id") != F.col("other")) & (F.col("alone").isNull() | (F.col("other") < F.col("q_id"))))
+        return best.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"), _weight(F.col("d"), gamma).alias("w"))
     linked = points.join(alone.select("id"), "id", "left_anti")
     to_linked = nearest_of(alone, linked)
     first = pairs(alone, "euclidean").select(F.col("v").alias("id"), F.col("u").alias("other"), "d")
     best = to_linked.unionByName(first).groupBy("id").agg(F.min(F.struct("d", "other")).alias("m"))
-    return best.select(F.least("id", "m.other").alias("u"), F.greatest("id", "m.other").alias("v"), (1 / (F.col("m.d") + EPS)).alias("w"))
+    return best.select(F.least("id", "m.other").alias("u"), F.greatest("id", "m.other").alias("v"), _weight(F.col("m.d"), gamma).alias("w"))
+
+
+def _bridges_in_cells(tagged: DataFrame, dims: int) -> DataFrame:
+    """(u, v, d): the shortest edge that leaves each component but the largest, by rings of cells: a component is done when its edge is no longer than the cells are wide."""
+    from orrery.functions.metrics import euclidean
+
+    size = materialize(tagged.groupBy("component").agg(F.count("*").alias("n")), "bridge-sizes")
+    top = size.orderBy(F.desc("n"), "component").limit(1).select("component")
+    r, diagonal = _spread(tagged, 1, dims)
+    todo, found = materialize(size.join(top, "component", "left_anti").select("component"), "bridge-open"), []
+    right = tagged.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("component").alias("oc"))
+    while not todo.isEmpty():
+        q = _cells(tagged.join(todo, "component", "left_semi"), r, dims, True)
+        j = q.join(_cells(right.withColumn("x", F.col("ox")), r, dims, False).drop("x"), [f"c{i}" for i in range(dims)]).where("component <> oc")
+        best = j.groupBy("component").agg(F.min(F.struct(euclidean(F.col("x"), F.col("ox")).alias("d"), F.least("id", "o").alias("u"), F.greatest("id", "o").alias("v"))).alias("m"))
+        best = materialize(best.where((F.col("m.d") <= r) | F.lit(r > diagonal)), "bridge-best")
+        found.append(best.select("m.u", "m.v", "m.d"))
+        if r > diagonal:
+            break
+        todo = materialize(todo.join(best, "component", "left_anti"), "bridge-open")
+        r *= 2
+    if not found:
+        return tagged.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("d")).where(F.lit(False))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
 
 
 def bridge_round(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -278,19 +434,32 @@ def bridge_round(points: DataFrame, edges: DataFrame) -> DataFrame:
     return best.groupBy("component").agg(F.min(F.struct("d", "u", "v")).alias("m")).select("m.u", "m.v", "m.d").distinct()
 
 
-def bridge(points: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(u, v, w): the edges that join all components at least length, one fewer than there are components; w = 1/(d + 1e-5). Rounds grow with the
-    logarithm of the number of components."""
-    all_, added = edges.select("u", "v"), None
-    for _ in range(max_rounds):
-        new = materialize(bridge_round(points, all_), "bridge-round")
+def bridge(points: DataFrame, edges: DataFrame, gamma: float | None = None) -> DataFrame:
+    """(u, v, w): the edges that join all components at least length, one fewer than there are components; w = 1/(d + 1e-5), for a kernel graph with its gamma rbf_weight().
+
+    Each round takes the shortest edge of every component, so rounds grow with the logarithm of their number; it ends when one is left. Up to three dimensions edges are
+    found by rings of cells, and the largest component waits for the others' edges.
+    """
+    all_, added, dims = edges.select("u", "v"), None, _dims(points)
+    tagged = None
+    if dims <= CELL_DIMS:
+        comp = connected_components(all_.unionByName(points.select(F.col("id").alias("u"), F.col("id").alias("v"))))
+        tagged = materialize(points.join(comp, points["id"] == comp["node"]).select("id", "x", "component"), "bridge-points")
+    while True:
+        new = materialize(bridge_round(points, all_) if tagged is None else _bridges_in_cells(tagged, dims), "bridge-round")
         if new.isEmpty():
             break
         added = new if added is None else added.unionByName(new)
         all_ = all_.unionByName(new.select("u", "v"))
+        if tagged is not None:
+            # The components of components: only those are joined anew.
+            of = tagged.select("id", "component")
+            links = new.join(of.withColumnsRenamed({"id": "u", "component": "a"}), "u").join(of.withColumnsRenamed({"id": "v", "component": "b"}), "v")
+            up = connected_components(links.select("a", "b"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("up"))
+            tagged = materialize(tagged.join(up, "component", "left").select("id", "x", F.coalesce("up", "component").alias("component")), "bridge-points")
     if added is None:
         return edges.select("u", "v", F.lit(0.0).alias("w")).where(F.lit(False))
-    return added.select("u", "v", (1 / (F.col("d") + EPS)).alias("w"))
+    return added.select("u", "v", _weight(F.col("d"), gamma).alias("w"))
 
 
 def epsilon_graph(points: DataFrame, r: float) -> DataFrame:
@@ -305,3 +474,38 @@ def knn_distance_graph(points: DataFrame, k: int, least: float) -> DataFrame:
     w = F.when(F.col("d") < EPS, F.col("top")).otherwise(1 / F.col("d"))
     e = n.join(F.broadcast(top)).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"), w.alias("w")).where(F.col("w") >= least)
     return e.groupBy("u", "v").agg(F.max("w").alias("w"))
+
+
+def with_attributes(nodes: DataFrame, points: DataFrame, prefix: str = "x_") -> DataFrame:
+    """nodes (id, ...) with a column for each dimension of their points: x_0, x_1 and so on; null for nodes without a point, which stay. A subset of nodes, or a
+    single one, is just fewer rows. A column of the same name is replaced."""
+    dims = _dims(points)
+    p = points.select("id", *[F.get("x", F.lit(k)).alias(f"{prefix}{k}") for k in range(dims)])
+    return nodes.drop(*[c for c in p.columns if c != "id"]).join(p, "id", "left")
+
+
+def fitted_t(points: DataFrame, metric: str, bins: int = 1000, rounds: int = 200) -> DataFrame:
+    """(family, location, scale, df), one row: Student's t of most likelihood for the histogram of all pairs' values, by expectation maximization over degrees of freedom from
+    1 to 200. The histogram has at most `bins` rows, which one task takes. No pairs give no rows."""
+    h = histogram(points, metric, bins)
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("bin")
+        step = 1 / (d["density"] * d["n"].sum() / d["n"]).median() if len(d) > 1 else 0.0
+        x, n = d["low"].to_numpy() + step / 2, d["n"].to_numpy().astype(float)
+        best = None
+        for df in (1, 1.5, 2, 3, 4, 5, 6, 8, 10, 15, 20, 30, 50, 100, 200):
+            m, s = np.average(x, weights=n), max(np.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n)), 1e-12)
+            for _ in range(rounds):
+                w = (df + 1) / (df + ((x - m) / s) ** 2) * n
+                m2 = (w * x).sum() / w.sum()
+                s2 = max(math.sqrt((w * (x - m2) ** 2).sum() / n.sum()), 1e-12)
+                if abs(m2 - m) + abs(s2 - s) < 1e-12:
+                    break
+                m, s = m2, s2
+            like = (n * (math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - math.log(s) - (df + 1) / 2 * np.log1p(((x - m) / s) ** 2 / df))).sum()
+            if best is None or like > best[0]:
+                best = (like, m, s, float(df))
+        return pd.DataFrame({"family": ["t"], "location": [best[1]], "scale": [best[2]], "df": [best[3]]})
+
+    return h.groupBy(F.lit(0).alias("all")).applyInPandas(lambda d: run(d), "family string, location double, scale double, df double")

@@ -18,7 +18,8 @@ from orrery.operators import entropy as E
 from orrery.plans.numbering import numbered
 from orrery.plans.scratch import drop_table, write_table
 
-MOST_PARTS = 20_000
+#: Most parts, and pairs of them with edges between, whose sums the driver holds.
+MOST_PARTS, MOST_LINKS = 20_000, 2_000_000
 
 
 def singletons(edges: DataFrame) -> DataFrame:
@@ -38,7 +39,10 @@ class _Parts:
         heads = partition.groupBy("cid").agg(F.min("node").alias("head")).join(stats.select("cid"), "cid")
         self.vol, self.g = {r["cid"]: r["vol"] for r in rows}, {r["cid"]: r["g"] for r in rows}
         self.near: dict = {c: {} for c in self.vol}
-        for r in E.between(edges, partition).select("ci", "cj", F.col(f"m_{cut}").cast("double").alias("m")).collect():
+        links = E.between(edges, partition).select("ci", "cj", F.col(f"m_{cut}").cast("double").alias("m")).limit(MOST_LINKS + 1).collect()
+        if len(links) > MOST_LINKS:
+            raise ValueError(f"more than {MOST_LINKS} pairs of parts have edges between them: use merge_rounds() or give a prior partition")
+        for r in links:
             self.near[r["ci"]][r["cj"]] = self.near[r["cj"]][r["ci"]] = r["m"]
         # Parts stand in the order of their nodes, which is that of their smallest ones; the nodes themselves stay in Spark.
         self.head = {c: -2 - c for c in self.vol} | {r["cid"]: r["head"] for r in heads.collect()}
@@ -138,8 +142,8 @@ def greedy(edges: DataFrame, gain: str = "di", prior: DataFrame | None = None, m
 def merge_rounds(edges: DataFrame, prior: DataFrame | None = None, gain: str = "di", max_rounds: int | None = None) -> DataFrame:
     """(node, cid): distributed greedy merging. Every part chooses the neighbour with which merging gains most (equal ones: smaller number); parts that choose each
     other merge, and those that choose one of the two join them, best first, as long as joining what has grown so far still gains and no less than their next choice.
-    Each round works on the contracted graph only; it ends when no part gains, as every round merges some. Raises if that takes more than max_rounds."""
-    f, cut = E.GAINS[gain]
+    gain is one of entropy.GAINS or 'flow', the codelength of the map equation. Each round works on the contracted graph only; it ends when no part gains, as every round merges some. Raises if that takes more than max_rounds."""
+    f, cut = (E.gain_flow, "weight") if gain == "flow" else E.GAINS[gain]
     sign = -1 if gain == "entropy" else 1
     spark, used = edges.sparkSession, []
 
@@ -151,10 +155,13 @@ def merge_rounds(edges: DataFrame, prior: DataFrame | None = None, gain: str = "
     stats = keep(E.part_stats(edges, part).select("cid", "vol", F.col(f"cut_{cut}").cast("double").alias("g")), "merge-stats")
     near = keep(E.between(edges, part).select("ci", "cj", F.col(f"m_{cut}").cast("double").alias("m")), "merge-near")
     total = stats.agg(F.sum("vol")).first()[0] or 0.0
-    delta = lambda vi, vj, gi, gj, m: sign * f(*[F.col(c) for c in (vi, vj, gi, gj, m)], F.lit(total))
+    cuts: list[float] = []
+    delta = lambda vi, vj, gi, gj, m: sign * f(*[F.col(c) for c in (vi, vj, gi, gj, m)], *(total, *cuts) if cuts else (F.lit(total),))
     rounds = 0
     while True:
         old = list(used)
+        if gain == "flow":
+            cuts[:] = [stats.agg(F.sum("g")).first()[0] or 0.0]
         a = stats.select(F.col("cid").alias("ci"), F.col("vol").alias("vi"), F.col("g").alias("gi"))
         b = stats.select(F.col("cid").alias("cj"), F.col("vol").alias("vj"), F.col("g").alias("gj"))
         cand = near.join(a, "ci").join(b, "cj").withColumn("d", delta("vi", "vj", "gi", "gj", "m")).where("d < -1e-12")
@@ -204,7 +211,3 @@ def labels(points: DataFrame, partition: DataFrame) -> DataFrame:
 def as_lists(partition: DataFrame) -> DataFrame:
     """(cid, nodes): the sorted nodes of each part."""
     return partition.groupBy("cid").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-
-
-def from_lists(lists: DataFrame, nodes: str = "nodes") -> DataFrame:
-    return lists.select("cid", F.explode(nodes).alias("node")).select("node", "cid")

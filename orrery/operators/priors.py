@@ -1,4 +1,4 @@
-"""Partitions to start from: density, k-means, flows and label propagation."""
+"""Partitions to start from: density, k-means and flows."""
 
 from __future__ import annotations
 
@@ -53,30 +53,52 @@ def codelength(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(nodes)).select((plog(F.col("q")) - 2 * F.col("lq") - F.col("ln") + F.col("lqp")).alias("codelength"))
 
 
-def propagate(edges: DataFrame, partition: DataFrame, turn: int = 0) -> DataFrame:
-    """(node, cid): one round of label propagation: nodes of this turn take the part to which most of their weight goes, their own on equal terms, else the smallest."""
+def map_moves(edges: DataFrame, partition: DataFrame) -> DataFrame:
+    """(node, cid, delta): for each node the neighbouring part to which moving it shortens the codelength most (equal ones: the smaller), and by how much."""
+    stats = materialize(E.part_stats(edges, partition).select("cid", "vol", F.col("cut_weight").alias("cut")), "flow-stats")
+    all_ = stats.agg(F.sum("vol").alias("total"), F.sum("cut").alias("cuts"))
+    d = E.degree(edges).select("node", F.col("degree").alias("d"))
     e = edges.where("u <> v")
-    both = e.select("u", "v", "w").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    votes = both.join(partition.select(F.col("node").alias("v"), "cid"), "v").groupBy("u", "cid").agg(F.sum("w").alias("w"))
-    own = votes.join(partition.select(F.col("node").alias("u"), F.col("cid").alias("own")), "u")
-    best = own.groupBy("u").agg(F.max(F.struct("w", (F.col("cid") == F.col("own")).alias("same"), (-F.col("cid")).alias("c"))).alias("m"))
-    moved = partition.join(best.select(F.col("u").alias("node"), (-F.col("m.c")).alias("to")), "node", "left")
-    mine = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-    return moved.select("node", F.when(mine & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("cid")).alias("cid"))
-
-
-def flow_partition(edges: DataFrame, prior: DataFrame | None = None, rounds: int = 12) -> DataFrame:
-    """(node, cid): the partition of least codelength that rounds of half-synchronous propagation meet, from the prior or from single nodes."""
-    from orrery.operators.partition import singletons
-
-    part = materialize(prior if prior is not None else singletons(edges), "flow")
-    best, low = part, codelength(edges, part).first()[0]
-    for k in range(rounds):
-        part = materialize(propagate(edges, part, k), "flow")
-        now = codelength(edges, part).first()[0]
-        if low is None or (now is not None and now < low - 1e-12):
-            best, low = part, now
-    return best
+    both = e.select(F.col("u").alias("node"), F.col("v").alias("other"), "w").unionByName(e.select(F.col("v").alias("node"), F.col("u").alias("other"), "w"))
+    to = both.join(partition.select(F.col("node").alias("other"), F.col("cid").alias("to")), "other").groupBy("node", "to").agg(F.sum("w").alias("w"))
+    own = to.join(partition.select("node", F.col("cid").alias("own")), "node")
+    ext = own.groupBy("node").agg(F.sum("w").alias("ext"), F.coalesce(F.sum(F.when(F.col("to") == F.col("own"), F.col("w"))), F.lit(0.0)).alias("wi"))
+    x = own.where("to <> own").join(ext, "node").join(d, "node")
+    x = x.join(stats.select(F.col("cid").alias("own"), F.col("vol").alias("vi"), F.col("cut").alias("ci")), "own").join(stats.select(F.col("cid").alias("to"), F.col("vol").alias("vj"), F.col("cut").alias("cj")), "to")
+    x = x.join(F.broadcast(all_))
+    x = x.withColumn("ci2", F.col("ci") - F.col("ext") + 2 * F.col("wi")).withColumn("cj2", F.col("cj") + F.col("ext") - 2 * F.col("w"))
+    p = lambda c: F.when(c > 1e-15, c * F.log2(c)).otherwise(0.0)
+    t = F.col("total")
+    cuts = F.col("cuts") - F.col("ci") - F.col("cj") + F.col("ci2") + F.col("cj2")
+    delta = (
+        p(cuts / t) - p(F.col("cuts") / t) - 2 * (p(F.col("ci2") / t) + p(F.col("cj2") / t) - p(F.col("ci") / t) - p(F.col("cj") / t))
+        + p((F.col("ci2") + F.col("vi") - F.col("d")) / t) + p((F.col("cj2") + F.col("vj") + F.col("d")) / t) - p((F.col("ci") + F.col("vi")) / t) - p((F.col("cj") + F.col("vj")) / t)
+    )
+    best = x.select("node", "to", delta.alias("delta")).where("delta < -1e-10").groupBy("node").agg(F.min(F.struct("delta", "to")).alias("m"))
+    return best.select("node", F.col("m.to").alias("cid"), F.col("m.delta").alias("delta"))
+
+
+def flow_partition(edges: DataFrame, prior: DataFrame | None = None, least: float = 1e-3) -> DataFrame:
+    """(node, cid): parts between which a random walk seldom goes, by the two-level map equation. First parts merge in rounds on the contracted graph as long as that shortens
+    the codelength, from the prior or from single nodes; then nodes move to the neighbouring parts that shorten it most, until a round gains less than `least` of it.
+
+    Moves of a round are judged against the parts before it, so half of the nodes move at a time, and a round that doesn't gain as a whole is not taken. No edges: no parts.
+    """
+    from orrery.operators.partition import merge_rounds
+
+    edges = materialize(edges.select("u", "v", "w"), "flow-edges")
+    part, turn = materialize(merge_rounds(edges, prior, "flow").select("node", "cid"), "flow"), 0
+    low, failed = codelength(edges, part).first()[0], 0
+    while low is not None and failed < 2:
+        moves, turn = map_moves(edges, part), turn + 1
+        some = moves.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+        new = part.withColumnRenamed("cid", "old").join(some.select("node", "cid"), "node", "left").select("node", F.coalesce("cid", "old").alias("cid"))
+        new = materialize(new, "flow")
+        now = codelength(edges, new).first()[0]
+        failed = 0 if now < low * (1 - least) else failed + 1
+        if now < low - 1e-12:
+            part, low = new, now
+    return part
 
 
 def spectral(edges: DataFrame, k: int, rounds: int = 30, seed: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.metrics import METRICS
 from orrery.operators.graphs import _blocks, _sides
+from orrery.plans.scratch import materialize
 
 
 def silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -90,3 +91,28 @@ def outlines(points: DataFrame, partition: DataFrame) -> DataFrame:
     thinned = ext.mapInPandas(thin, ext.schema)
     hull = thinned.groupBy("cid").applyInPandas(join, "cid bigint, hull array<struct<x:double,y:double>>")
     return n.select("cid", "num").join(hull, "cid")
+
+
+def alpha_outlines(points: DataFrame, partition: DataFrame, radius: float) -> DataFrame:
+    """(cid, num, u, v, x1, y1, x2, y2): the sides of each part's alpha shape: pairs of its plane points through which a circle of this radius goes that holds no other point of
+    the part (u < v are ids; of points at one place the smallest stands for all). num is the number of the part's members.
+
+    Points of one place are one corner, a point without any within two radii has no side. Only points within two radii of each other meet, in cells.
+    """
+    from orrery.operators.graphs import radius_pairs
+
+    p = partition.join(points, partition["node"] == points["id"]).select("cid", "id", F.get("x", 0).alias("x"), F.get("x", 1).alias("y"))
+    num = p.groupBy("cid").agg(F.count("*").alias("num"))
+    q = materialize(p.groupBy("cid", "x", "y").agg(F.min("id").alias("id")), "outline-points")
+    at = lambda n: q.select("cid", F.col("id").alias(n), F.col("x").alias("x_" + n), F.col("y").alias("y_" + n))
+    e = radius_pairs(q.select("id", F.array("x", "y").alias("x")), 2 * radius).select("u", "v")
+    e = materialize(e.join(at("u"), "u").join(at("v"), ["cid", "v"]), "outline-pairs")
+    dx, dy = F.col("x_v") - F.col("x_u"), F.col("y_v") - F.col("y_u")
+    h = F.sqrt(F.greatest(F.lit(0.0), radius * radius / (dx * dx + dy * dy) - 0.25))
+    mx, my = (F.col("x_u") + F.col("x_v")) / 2, (F.col("y_u") + F.col("y_v")) / 2
+    e = e.withColumns({"lx": mx - dy * h, "ly": my + dx * h, "rx": mx + dy * h, "ry": my - dx * h})
+    near = e.select("cid", "u", F.col("v").alias("z"), F.col("x_v").alias("x_z"), F.col("y_v").alias("y_z")).unionByName(e.select("cid", F.col("v").alias("u"), F.col("u").alias("z"), F.col("x_u").alias("x_z"), F.col("y_u").alias("y_z")))
+    inside = lambda x, y: (F.pow(F.col("x_z") - F.col(x), 2) + F.pow(F.col("y_z") - F.col(y), 2) < radius * radius - 1e-9).cast("int")
+    full = e.join(near, ["cid", "u"]).where("z <> v").groupBy("cid", "u", "v").agg(F.max(inside("lx", "ly")).alias("l"), F.max(inside("rx", "ry")).alias("r"))
+    sides = e.join(full.where("l = 1 AND r = 1"), ["cid", "u", "v"], "left_anti")
+    return sides.join(num, "cid").select("cid", "num", "u", "v", F.col("x_u").alias("x1"), F.col("y_u").alias("y1"), F.col("x_v").alias("x2"), F.col("y_v").alias("y2"))

@@ -82,3 +82,24 @@ def ring_order(segments: DataFrame, max_steps: int = 100_000) -> DataFrame:
             out.append(at)
             break
     return segments.sparkSession.createDataFrame(list(enumerate(out)), "seq int, node bigint")
+
+
+def ring_lines(segments: DataFrame) -> DataFrame:
+    """(line, ord, node): closed lines in the order of their head-to-tail segments (line, a, b), each from its smallest node; the first node is not repeated at the end.
+
+    Lists are ranked by doubling: each node learns how far ahead its pointer reaches, and the rounds grow with the logarithm of the longest line. So lines may be many and
+    long. Segments with a null end or of no length are ignored, repeated ones count once. A node with several segments onward goes on with the one to the smallest node;
+    where a line has a gap, what lies on the way to the gap counts back from it and comes first, and its smallest node is no start.
+    """
+    e = segments.where("line IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND a <> b").groupBy("line", "a").agg(F.min("b").alias("b"))
+    start = e.groupBy("line").agg(F.min("a").alias("s"))
+    # The pointer of the node before the start is cut; every other node points ahead.
+    p = e.join(start, "line").select("line", F.col("a").alias("node"), F.when(F.col("b") != F.col("s"), F.col("b")).alias("to")).withColumn("ahead", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("bigint"))
+    p = materialize(p, "ring-pointers")
+    n = p.groupBy("line").agg(F.count("*").alias("n"))
+    longest, reach = n.agg(F.max("n")).first()[0] or 0, 1
+    while reach < longest:
+        q = p.select("line", F.col("node").alias("to"), F.col("to").alias("next"), F.col("ahead").alias("more"))
+        p = materialize(p.join(q, ["line", "to"], "left").select("line", "node", F.col("next").alias("to"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead")), "ring-pointers")
+        reach *= 2
+    return p.join(n, "line").select("line", (F.col("n") - 1 - F.col("ahead")).alias("ord"), "node")
