@@ -154,7 +154,7 @@ def merge_rounds(edges: DataFrame, prior: DataFrame | None = None, gain: str = "
     part = keep(prior if prior is not None else singletons(edges), "merge-part")
     stats = keep(E.part_stats(edges, part).select("cid", "vol", F.col(f"cut_{cut}").cast("double").alias("g")), "merge-stats")
     near = keep(E.between(edges, part).select("ci", "cj", F.col(f"m_{cut}").cast("double").alias("m")), "merge-near")
-    total = stats.agg(F.sum("vol")).first()[0] or 0.0
+    total = stats.agg(F.sum("vol")).first()[0] or 1.0
     cuts: list[float] = []
     delta = lambda vi, vj, gi, gj, m: sign * f(*[F.col(c) for c in (vi, vj, gi, gj, m)], *(total, *cuts) if cuts else (F.lit(total),))
     rounds = 0
