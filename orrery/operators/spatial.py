@@ -1,8 +1,8 @@
 """Points near other points, and the regions that points lie in.
 
 Near pairs: latitude is cut into strips little higher than the distance; a strip is lent the points just above it. Crowded strips are
-cut into segments of longitude by their number of points, and each is lent the points just right of it. Every task sorts its
-rows by strip, segment and longitude and sweeps an active set of the last few longitudes. A pair belongs to the lower strip and, in
+cut into segments of longitude by their number of points, and each is lent the points just right of it. Rows are partitioned by ranges of strip and segment; every
+task sorts its own by longitude and sweeps an active set of the last few longitudes. A pair belongs to the lower strip and, in
 it, to the left segment, so it comes out once.
 """
 
@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from orrery.plans.scratch import materialize
+
 EARTH_RADIUS = 6371008.8
-#: Pairs that one step of the sweep compares, points from which on a strip is cut into segments of about so many, least width of a cell.
-BLOCK_PAIRS, SEGMENT_POINTS, CELL_DEG = 1_000_000, 20_000, 0.002
+#: Pairs that one step of the sweep compares; points from which on a strip is cut into segments of about so many; most sides of rings that are sent to all executors.
+BLOCK_PAIRS, SEGMENT_POINTS, MOST_SIDES = 1_000_000, 20_000, 200_000
 
 
 def haversine_m(lon1, lat1, lon2, lat2):
@@ -60,8 +62,10 @@ def strips(points: DataFrame, metres: float) -> DataFrame:
     p = p.withColumn("margin", lon_margin(edge, metres))
     p = p.select("id", "lon", "lat", "strip", "up", "margin", F.explode(F.expr("CASE WHEN lon - margin < -180 THEN array(0, 1) ELSE array(0) END")).alias("wrap"))
     p = p.withColumn("lon", F.col("lon") + 360 * F.col("wrap"))
-    width = F.greatest(F.lit(CELL_DEG), 2 * F.col("margin"))
+    # Cells of two margins: the points of one are near each other, so that however many they are, their pairs are the result.
+    width = 2 * F.col("margin")
     p = p.withColumn("c", F.floor((F.col("lon") + 180) / width)).withColumn("c2", F.floor((F.col("lon") + 180 - F.col("margin")) / width))
+    p = materialize(p, "strips")
     crowded = p.groupBy("strip").agg(F.count("*").alias("n")).where(F.col("n") > SEGMENT_POINTS).select("strip", F.lit(True).alias("crowded"))
     p = p.join(crowded, "strip", "left")
     cells = p.where("crowded").groupBy("strip", "c").agg(F.count("*").alias("n"))
@@ -124,7 +128,8 @@ def near_pairs(points: DataFrame, metres: float) -> DataFrame:
     """
     p = strips(points, metres)
     n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = p.repartition(n, "strip", "seg").sortWithinPartitions("strip", "seg", "lon", "id", "wrap", "right")
+    # A range ends with a whole segment, as its borders are values of both columns.
+    p = p.repartitionByRange(n, "strip", "seg").sortWithinPartitions("strip", "seg", "lon", "id", "wrap", "right")
     out = p.mapInPandas(lambda it: _sweep(it, metres), "id_a bigint, id_b bigint, again boolean")
     # Only around the poles a pair may be met in either direction.
     return out.where("NOT again").select("id_a", "id_b").unionByName(out.where("again").select("id_a", "id_b").distinct())
@@ -145,11 +150,15 @@ def regions_of(points: DataFrame, ring: DataFrame, band: float = 0.05) -> DataFr
 
     ring (ring_id, part_no, seq, x, y): parts are closed lines; a point within an odd number of the parts is inside. A side counts from its lower
     end (included) to its upper (excluded). Points with nulls or NaN lie nowhere. Either side may be empty.
-    Sides are looked up by bands of latitude: no point meets the sides of other latitudes.
+    Sides are looked up by bands of latitude: no point meets the sides of other latitudes. Up to MOST_SIDES pieces of sides go to all executors, so that points stay where
+    they are and no band is in one task; of more rings, points and sides are shuffled by band, and crowded bands are left to the engine's splitting of skewed joins.
     """
     e = ring_edges(ring)
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     e = e.withColumn("band", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
+    e = materialize(e, "ring-sides")
+    if e.limit(MOST_SIDES + 1).count() <= MOST_SIDES:
+        e = F.broadcast(e)
     p = points.where("id IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)").select("id", "lon", "lat", F.floor(F.col("lat") / band).alias("band"))
     lon, lat = F.col("lon"), F.col("lat")
     x = F.col("x1") + (lat - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
