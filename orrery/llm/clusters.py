@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from orrery.operators.components import connected_components
-from orrery.operators.spatial import EARTH_RADIUS, lon_margin
+from orrery.operators.spatial import EARTH_RADIUS, haversine_column, lon_margin
 from orrery.plans.scratch import materialize
 
 #: Cells on a tile's side; halvings by 8 of a cell's side; halvings at which tiles look.
@@ -237,11 +237,60 @@ def _decide(grid: DataFrame, opened: DataFrame, eps: float) -> DataFrame:
     return empty if links is None else links
 
 
+def _close(some: DataFrame, grid: DataFrame, eps: float) -> DataFrame:
+    """(id, other): for some points of a grid all of its points within eps metres, themselves included. Each looks into the cells around it, row by row of cells."""
+    h = math.degrees(eps / math.sqrt(2) * 0.999 / EARTH_RADIUS)
+    margin = lon_margin(F.abs("lat") + 3 * h, eps)
+    q = some.select("id", "lon", "lat", margin.alias("m"), F.explode(F.sequence(F.col("r") - 2, F.col("r") + 2)).alias("r"))
+    q = q.select("id", "lon", "lat", "m", "r", F.explode(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0))).alias("wrap")).withColumn("x", F.col("lon") + F.col("wrap"))
+    q = q.where((F.col("x") + F.col("m") >= -180) & (F.col("x") - F.col("m") <= 180))
+    w = _cell_width(F.col("r"), h)
+    lo, hi = F.greatest(F.lit(-180.0), F.col("x") - F.col("m")), F.least(F.lit(180.0), F.col("x") + F.col("m"))
+    q = q.select("id", "lon", "lat", "r", F.explode(F.sequence(F.floor((lo + 180) / w), F.floor((hi + 180) / w))).alias("cj")).distinct()
+    o = grid.select(F.col("id").alias("other"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), "r", F.shiftright("fj", 3 * LEVELS).alias("cj"))
+    return q.join(o, ["r", "cj"]).where(haversine_column(F.col("lon"), F.col("lat"), F.col("x2"), F.col("y2")) <= eps).select("id", "other").distinct()
+
+
+def core_points(grid: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """(id, core): whether a point has at least so many points within eps metres, itself included.
+
+    The points of a cell are all within eps of each other, so those of cells with that many are cores at once; only the points of other cells are compared, and of
+    these each cell holds fewer than min_samples: so a crowded place costs no more than its points.
+    """
+    cell = ["r", F.shiftright("fj", 3 * LEVELS).alias("cj")]
+    n = grid.select(*cell).groupBy("r", "cj").agg(F.count("*").alias("n"))
+    full = grid.select("*", cell[1]).join(n, ["r", "cj"])
+    few = materialize(full.where(F.col("n") < min_samples).select(*grid.columns), "clusters-few")
+    counted = _close(few, grid, eps).groupBy("id").agg((F.count("*") >= min_samples).alias("core"))
+    return full.where(F.col("n") >= min_samples).select("id", F.lit(True).alias("core")).unionByName(counted)
+
+
+def density_clusters(points: DataFrame, eps: float, min_samples: int, least: int = 1) -> DataFrame:
+    """(id, cluster_id): density clusters of at least `least` points: cores, which have min_samples points within eps metres, themselves included, belong together when they are
+    linked by steps of at most eps; other points within eps of a core join the cluster with the smallest id. cluster_id is the smallest core's id. Noise has no row.
+
+    points as in clusters(), with which min_samples = 1 agrees: then every point is a core.
+    """
+    g = materialize(_grid(points, eps), "clusters-grid")
+    core = materialize(core_points(g, eps, min_samples), "clusters-core")
+    cores = materialize(g.join(core.where("core"), "id", "left_semi"), "clusters-cores")
+    inner = materialize(clusters(cores, eps, 1), "clusters-inner")
+    border = g.join(core.where("NOT core"), "id", "left_semi")
+    outer = _close(border, cores, eps).join(inner.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("cluster_id").alias("cluster_id"))
+    all_ = materialize(inner.unionByName(outer), "clusters-all")
+    if least <= 1:
+        return all_
+    large = all_.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster_id")
+    return all_.join(large, "cluster_id", "left_semi").select("id", "cluster_id")
+
+
 def clusters(points: DataFrame, eps: float = 60.0, least: int = 5) -> DataFrame:
-    """(id, cluster_id): the points of all groups of at least `least` ids linked by steps of at most eps metres; cluster_id is the smallest id.
+    """(id, cluster_id): the points of all groups of at least `least` ids linked by steps of at most eps metres; cluster_id is the smallest id. It is density_clusters() with
+    min_samples = 1: all points are cores, and local clusters merge through the cells of cores that tiles share.
 
     points (id BIGINT, lon, lat), one row per id. Rows with a null or NaN in any of them are in no group; equal places are one step apart at
-    0 m; further columns are ignored; no points give no rows. Exact: no group is split or joined by tiles, boxes or crowded places.
+    0 m; further columns are ignored; no points give no rows. Distances are certain to a hundredth of a millimetre: of points whose boxes are split to that size and still may or may
+    not be within eps, the link counts.
     """
     g = _grid(points, eps)
     g = materialize(g, "clusters-grid")

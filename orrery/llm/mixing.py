@@ -61,12 +61,13 @@ def curriculum(plan: DataFrame, strength: float = 0.5) -> DataFrame:
     """plan with `slope`: the weight of a source at time t is planned_share * (1 + slope * (2 t - 1)).
 
     Sources that are used over and over come late, those used once or less come early: the slope grows with the repeats, from -strength to
-    strength, less its mean, so that the weights sum to 1 at every time. 0 is a constant mixture.
+    strength, less its mean, so that the weights sum to 1 at every time; all slopes shrink together where one would leave -1..1, so that no weight is negative. 0 is a constant mixture.
     """
     raw = strength * (2 * F.col("repeats") / (1 + F.col("repeats")) - 1)
     p = plan.withColumn("raw", F.when(F.col("planned") > 0, raw).otherwise(0.0))
     mean = F.sum(F.col("raw") * F.col("planned_share")).over(W.partitionBy())
-    return p.withColumn("slope", F.when(F.col("planned") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("raw") - mean))).otherwise(0.0)).drop("raw")
+    p = p.withColumn("raw", F.when(F.col("planned") > 0, F.col("raw") - mean).otherwise(0.0))
+    return p.withColumn("slope", F.col("raw") / F.greatest(F.lit(1.0), F.max(F.abs("raw")).over(W.partitionBy()))).drop("raw")
 
 
 def due(part: Column, slope: Column) -> Column:

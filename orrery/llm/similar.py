@@ -217,7 +217,8 @@ def similar(vectors: DataFrame, dims: int, k: int = 5, least: float = -1.0, tabl
     rows = rows.repartition(parts, "g").sortWithinPartitions("g")
     found = rows.mapInArrow(lambda it: _search(it, dims, k, least), "id bigint, other bigint, similarity double")
     # The same pair has the same similarity from either side and in every bucket.
-    exact = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "similarity")).distinct()
+    both = F.array(F.struct("id", "other", "similarity"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), "similarity"))
+    exact = found.select(F.inline(both)).distinct()
     ranked = exact.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other")))
     ranked = ranked.where(F.col("rank") <= k)
     if not copies:

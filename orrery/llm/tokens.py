@@ -26,8 +26,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 _S = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf" ?\p{{L}}++| ?\p{{N}}++|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}\p{{L}}\p{{N}}]++|[{_S}]+(?![^{_S}])|[{_S}]+"
 _BUCKETS = 16384
-#: The most frequent words of the corpus that are no tokens: so many are put back by a literal instead of the join, which also takes the skew out of it.
-FREQUENT = 4096
+#: The most frequent words of the corpus that are no tokens: so many, each of at most so many characters, are put back by a literal of a megabyte at most instead of the
+#: join, which also takes the skew out of it. All others, the long ones too, are joined.
+FREQUENT, FREQUENT_LENGTH = 4096, 64
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -120,8 +121,8 @@ def encode(documents: DataFrame, path: str | None = None, key: str = "doc_id", t
     other = d.where(F.size("o") > 0).select("row", F.posexplode("o").alias("at", "w"))
     book = other.groupBy("w").agg(F.count("*").alias("n"))
     book = materialize(book.select("w", "n", merge(F.col("w"), path).alias("ids")), "token-book")
-    # A fixed number of words; all others are joined.
-    frequent = {r["w"]: list(r["ids"]) for r in book.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()}
+    # A fixed number of words of bounded length; all others are joined.
+    frequent = {r["w"]: list(r["ids"]) for r in book.where(F.length("w") <= FREQUENT_LENGTH).orderBy(F.desc("n"), "w").limit(FREQUENT).collect()}
     table = _literal(frequent, {w: w.encode() for w in frequent}, "array<int>")
     rare = other.withColumn("f", F.transform(F.array(table), lambda t: look(t)(F.col("w")))[0]).where(F.col("f").isNull()).drop("f")
     found = rare.join(book.select("w", "ids"), "w").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "ids"))).alias("m"))

@@ -66,6 +66,29 @@ def test_chain_across_tiles(spark):
     assert clusters.clusters(d, 30.0).count() == 0
 
 
+def test_density_clusters_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    # A crowded place, a street, a sparse field, both sides of the antimeridian, the pole, copies.
+    lon = np.concatenate([rng.normal(100, 2e-4, 200), 100.01 + np.arange(40) * 5e-4, rng.uniform(100, 100.02, 60), 180 - rng.uniform(0, 5e-4, 12), -180 + rng.uniform(0, 5e-4, 12), rng.uniform(-180, 180, 30), np.full(20, 101.0)])
+    lat = np.concatenate([rng.normal(40, 2e-4, 200), np.full(40, 40.01), rng.uniform(40.01, 40.03, 60), rng.uniform(0, 5e-4, 24), 90 - rng.uniform(0, 4e-4, 30), np.full(20, 41.0)])
+    ids = rng.permutation(len(lon))
+    d = spark.createDataFrame([(int(i), float(a), float(b), "x") for i, a, b in zip(ids, lon, lat)] + [(None, 1.0, 1.0, "x"), (9999, None, 1.0, "x"), (9998, float("nan"), 1.0, "x")], "id long, lon double, lat double, core string")
+    near = np.stack([haversine_m(lon[i], lat[i], lon, lat) <= 60 for i in range(len(lon))])
+    for least in (1, 4, 30):
+        core = near.sum(1) >= least
+        label = {i: ids[i] for i in np.nonzero(core)[0]}
+        while True:
+            new = {i: min(label[j] for j in np.nonzero(near[i] & core)[0]) for i in label}
+            if new == label:
+                break
+            label = new
+        want = {int(ids[i]): int(c) for i, c in label.items()}
+        want |= {int(ids[i]): int(min(label[j] for j in np.nonzero(near[i] & core)[0])) for i in np.nonzero(~core)[0] if (near[i] & core).any()}
+        got = {r["id"]: r["cluster_id"] for r in clusters.density_clusters(d, 60.0, least).collect()}
+        assert got == want
+    assert clusters.density_clusters(d.limit(0), 60.0, 4).count() == 0
+
+
 # ---------------------------------------------------------------- similar vectors
 
 
@@ -162,6 +185,16 @@ def _fill(sizes, target, cap, total):
     return {s: min(most[s], hi * target[s]) for s in target}
 
 
+def test_weights_of_a_curriculum_always_sum_to_one(spark):
+    plan = spark.createDataFrame([("a", 0.7, 0.1, 7.0), ("b", 0.2, 9.0, 2.0), ("c", 0.1, 1.0, 1.0), ("d", 0.0, 0.0, 0.0)], "source string, planned_share double, repeats double, planned double")
+    for strength in (0.0, 0.5, 1.0, 5.0):
+        rows = mixing.curriculum(plan, strength).collect()
+        for t in (0.0, 0.3, 1.0):
+            w = [r["planned_share"] * (1 + r["slope"] * (2 * t - 1)) for r in rows]
+            assert math.isclose(sum(w), 1.0, abs_tol=1e-12) and min(w) >= 0
+        assert (max(abs(r["slope"]) for r in rows) > 0) == (strength > 0)
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(4)
     # One source holds most rows, another has none, one is spelled in several ways.
