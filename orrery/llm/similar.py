@@ -31,11 +31,13 @@ def usable(x: Column, dims: int) -> Column:
     return F.coalesce((F.size(x) == dims) & ok & F.exists(x, lambda e: e != 0), F.lit(False))
 
 
-def unit(x: Column) -> Column:
-    """The vector divided by its length; divided by its largest entry first, so that no square overflows."""
-    top = F.array_max(F.transform(x, F.abs))
-    y = F.transform(x, lambda e: e / top)
-    return F.transform(F.array(y), lambda v: F.transform(v, lambda e: e / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, b: a + b * b))))[0]
+def _units(x: np.ndarray) -> np.ndarray:
+    """The rows divided by their lengths; divided by their largest entries first, so that no square overflows. Squares are summed in the order of the dimensions."""
+    y = x / np.abs(x).max(1, keepdims=True)
+    t = np.zeros(len(y))
+    for j in range(y.shape[1]):
+        t += y[:, j] * y[:, j]
+    return y / np.sqrt(t)[:, None]
 
 
 def _rotations(dims: int, tables: int, seed: int) -> np.ndarray:
@@ -82,29 +84,34 @@ def _codes(x: np.ndarray, signs: np.ndarray, depth: int, probes: int) -> tuple[n
     return own, out
 
 
-def _rows(batches: Iterator[pa.RecordBatch], dims: int, tables: int, depth: int, probes: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], dims: int, tables: int, depth: int, probes: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """For each vector, once: its unit vector, its bucket and the probed ones of each table, one table after another, and the further hashes that may divide each."""
     signs = _rotations(dims, tables, seed)
     width = signs.shape[-1]
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
-            if not part.num_rows:
-                continue
             n = part.num_rows
-            exact = part.column("unit").flatten().to_numpy().reshape(n, dims)
+            exact = _units(part.column("x").flatten().to_numpy().reshape(n, dims))
             x = np.zeros((n, width), np.float32)
             x[:, :dims] = exact
-            vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * dims), n, [None, pa.py_buffer(exact.astype("<f8").tobytes())]).cast(pa.binary())
+            buckets, rests = [], []
             for t in range(tables):
                 own, codes = _codes(x, signs[t], depth, probes)
                 tail = np.zeros((n, DEEPEST), np.uint8)
                 tail[:] = own % 256 if width * 2 <= 256 else own % 251
-                for p in range(codes.shape[1]):
-                    bucket = np.full(n, t, np.int64)
-                    for j in range(depth):
-                        bucket = bucket * (2 * width) + codes[:, p, j]
-                    rest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DEEPEST - depth), n, [None, pa.py_buffer(np.ascontiguousarray(tail[:, depth:]).tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), rest, part.column("id"), pa.array(np.full(n, p == 0)), vec], names=["bucket", "rest", "id", "home", "vec"])
+                bucket = np.full(codes.shape[:2], t, np.int64)
+                for j in range(depth):
+                    bucket = bucket * (2 * width) + codes[:, :, j]
+                buckets.append(bucket)
+                rests.append(tail[:, depth:])
+            all_ = np.concatenate(buckets, axis=1)
+            rest = np.ascontiguousarray(np.stack(rests, axis=1))
+            many, deep = all_.shape[1], DEEPEST - depth
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * many + 1, many), pa.int32()), pa.array(all_.ravel()))
+            tails = pa.FixedSizeBinaryArray.from_buffers(pa.binary(deep * tables), n, [None, pa.py_buffer(rest.tobytes())]).cast(pa.binary())
+            vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * dims), n, [None, pa.py_buffer(exact.astype("<f8").tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), vec, lists, tails, pa.array(np.full(n, many // tables, np.int32)), pa.array(np.full(n, deep, np.int32))], names=["id", "vec", "buckets", "rests", "each", "deep"])
 
 
 def _best(ids: np.ndarray, home: np.ndarray, x: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,10 +215,14 @@ def similar(vectors: DataFrame, dims: int, k: int = 5, least: float = -1.0, tabl
     w = W.partitionBy("x").orderBy("id")
     every = v
     first = v.select("id", F.row_number().over(w).alias("copy"), "x").where(F.col("copy") <= k + 1)
-    v = materialize(first.select("id", "copy", "x", unit(F.col("x")).alias("unit")), "similar-unit")
+    v = materialize(first, "similar-vectors")
     n = v.count()
     depth = min(DEEPEST - 1, max(1, round(math.log(max(n, 1) / 32 + 1) / math.log(2 * (1 << max(1, (dims - 1).bit_length()))))))
-    rows = v.mapInArrow(lambda it: _rows(it, dims, tables, depth, probes, seed), "bucket bigint, rest binary, id bigint, home boolean, vec binary")
+    hashed = v.select("id", "x").mapInArrow(lambda it: _hashed(it, dims, tables, depth, probes, seed), "id bigint, vec binary, buckets array<bigint>, rests binary, each int, deep int")
+    hashed = materialize(hashed, "similar-hashed")
+    rows = hashed.select("id", "vec", "rests", "each", "deep", F.posexplode("buckets").alias("k", "bucket"))
+    rest = F.expr("substring(rests, int(k div each) * deep + 1, deep)")
+    rows = rows.select("bucket", rest.alias("rest"), "id", (F.col("k") % F.col("each") == 0).alias("home"), "vec")
     rows = _divide(rows, depth)
     parts = max(int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     rows = rows.repartition(parts, "g").sortWithinPartitions("g")
