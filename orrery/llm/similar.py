@@ -21,6 +21,8 @@ from orrery.plans.scratch import materialize
 
 #: Hashes that a table has at most, vectors that a bucket has at most unless they agree in all of them, rows compared at once.
 DEEPEST, BUCKET, BLOCK = 6, 1_000, 512
+#: Most crowded buckets whose names go to all executors, so that rows are shuffled once; of more, rows are joined with them by a shuffle of their own.
+MOST_CROWDED = 1_000_000
 #: Similarities are rounded to multiples of 1 / ONE.
 ONE = 1e12
 
@@ -245,5 +247,8 @@ def _divide(rows: DataFrame, depth: int) -> DataFrame:
     homes = rows.where("home").select("bucket", "rest")
     crowded = homes.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
     crowded = crowded.select("bucket", F.least(F.lit(DEEPEST - depth), F.ceil(F.log(F.col("n") / BUCKET) / math.log(8))).cast("int").alias("deeper"))
+    crowded = materialize(crowded, "similar-crowded")
+    if crowded.limit(MOST_CROWDED + 1).count() <= MOST_CROWDED:
+        crowded = F.broadcast(crowded)
     joined = rows.join(crowded, "bucket", "left")
     return joined.select(F.when(F.col("deeper").isNull(), g).otherwise(F.xxhash64("bucket", F.expr("substring(rest, 1, deeper)"))).alias("g"), "id", "home", "vec")
