@@ -14,8 +14,11 @@ MOST_ROUNDS = 200
 
 
 def _with_least(both: DataFrame, least: DataFrame, edges: int) -> DataFrame:
-    """both (u, v) with m, the least of each u (u, m, n). The rows of hubs, of which a bounded number exist, meet theirs by broadcast and are never in one task."""
+    """both (u, v), of at most so many edges a node, with m, the least of each u (u, m, n). The rows of hubs, of which a bounded number exist, meet theirs by broadcast and are never in one task."""
     hub = max(HUB, edges // 10_000)
+    if 2 * edges <= hub:
+        # No node can have that many edges.
+        return both.join(least.select("u", "m"), "u")
     few = both.join(least.where(F.col("n") <= hub).select("u", "m"), "u")
     return few.unionByName(both.join(F.broadcast(least.where(F.col("n") > hub).select("u", "m")), "u"))
 
