@@ -267,3 +267,22 @@ def test_compare_store_and_spectral(spark, rows, tmp_path):
         store.save(str(tmp_path), other=g)
     gray = spark.createDataFrame([(1, 2, 0), (1, 3, 255)], "u long, v long, gray int")
     assert [r["color"] for r in dynamics.gray_colors(gray, {100: "black"}).orderBy("v").collect()] == [None, "black"]
+
+
+def test_strong_pairs_leave_their_blocks_and_others_stay(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "BLOCK", 40)
+    monkeypatch.setattr(graphs, "STEP", 300)
+    x = np.random.default_rng(8).normal(size=(150, 12))
+    x[100:130] = x[:30]
+    x[7] = 1.0
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = np.corrcoef(x)
+    every = sorted((-round(abs(c[i, j]), 12), i, j) for i in range(150) for j in range(i + 1, 150) if not np.isnan(c[i, j]))
+    # Thirty copies less the one without variation are 29 equal pairs: a cut among them takes the smaller ends.
+    for degree in (0.2, 2.0, 1000.0):
+        n = round(150 * degree / 2)
+        got = [(r["u"], r["v"]) for r in dynamics.correlated_by_degree(p, degree).collect()]
+        assert sorted(got) == sorted((i, j) for _, i, j in every[:n])
+    assert graphs.strongest_pairs(p, "pearson_r", 15).count() < 15 * 40 < len(every)
+    assert graphs.strongest_pairs(p, "pearson_r", 0).count() == 0 == dynamics.correlated_by_degree(p.limit(0), 4).count()
