@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -93,26 +95,146 @@ def outlines(points: DataFrame, partition: DataFrame) -> DataFrame:
     return n.select("cid", "num").join(hull, "cid")
 
 
+#: Cells a radius, cells a side of the tiles in which they are looked at, and cells around that have a say.
+FINE, TILE, HALO = 16, 128, 36
+
+
+def _in_tiles(df: DataFrame, columns: list, size: float, halo: float) -> DataFrame:
+    """df with each row in all tiles (t0, t1) of this size that it lies in or within the halo of."""
+    for k, c in enumerate(columns):
+        df = df.withColumn(f"t{k}", F.explode(F.sequence(F.floor((c - halo) / size), F.floor((c + halo) / size))))
+    return df
+
+
+def _discs(cells: np.ndarray, widths: list[int]) -> np.ndarray:
+    """Which cells have one of the given cells within widths[k] columns in the k-th row above or below."""
+    rows, columns = cells.shape
+    out = np.zeros(cells.shape, bool)
+    for k, w in enumerate(widths):
+        sums = np.concatenate([np.zeros((rows, w + 1), np.int32), np.cumsum(np.pad(cells, ((0, 0), (0, w))), axis=1, dtype=np.int32)], axis=1)
+        if w > 0:
+            sums[:, w + 1 + columns :] = sums[:, [w + columns]]
+        near = sums[:, 2 * w + 1 : 2 * w + 1 + columns] - sums[:, :columns] > 0
+        out[k:] |= near[: rows - k]
+        out[: rows - k] |= near[k:]
+    return out
+
+
+def _voids(d: pd.DataFrame, tile: tuple[int, int], margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a tile and around it, by row and column: which have points, and in which a circle without points inside may have its centre.
+
+    No circle round any place of a cell is empty if another cell lies within the radius of all its places and has points. The margin, a share of the radius squared, is that
+    of rounding and of what counts as inside.
+    """
+    some = np.zeros((TILE + 2 * HALO, TILE + 2 * HALO), bool)
+    some[d["c0"].to_numpy() - tile[0] * TILE + HALO, d["c1"].to_numpy() - tile[1] * TILE + HALO] = True
+    inner = FINE * FINE * (1 - margin)
+    return some, ~_discs(some, [math.floor(math.sqrt(inner - (k + 1) ** 2) - 1) for k in range(FINE) if (k + 1) ** 2 + 1 < inner])
+
+
+#: Runs of the 64 directions round a point as bits, by first direction and length.
+_RUNS = np.array([[sum(1 << (first + k) % 64 for k in range(n)) for n in range(65)] for first in range(64)], np.uint64)
+
+
+def _surrounded(x: np.ndarray, y: np.ndarray, mine: np.ndarray, radius: float) -> np.ndarray:
+    """Which of the points named are surely in no side: wherever the centre of a circle through them is, it holds an outermost point, in one of eight directions, of a cell
+    that they lie in."""
+    seen = np.zeros(len(mine), np.uint64)
+    for width in (radius / 4, radius / 16, radius / 64, radius / 256):
+        for shift in (0.0, 0.5):
+            _, cell = np.unique(np.floor(x / width + shift) * 2.0**26 + np.floor(y / width + shift), return_inverse=True)
+            order = np.argsort(cell, kind="stable")
+            of = cell[order]
+            first = np.nonzero(np.append(True, of[1:] != of[:-1]))[0]
+            for turn in np.arange(8) * np.pi / 4:
+                out = (x * np.cos(turn) + y * np.sin(turn))[order]
+                most = out == np.maximum.reduceat(out, first)[of]
+                pick = np.zeros(len(first), int)
+                pick[of[most]] = order[most]
+                other = pick[cell[mine]]
+                dx, dy = x[other] - x[mine], y[other] - y[mine]
+                d = np.sqrt(dx * dx + dy * dy)
+                half = np.arccos(np.minimum(1, (d * d + 1e-9) / np.maximum(2 * radius * d, 1e-300))) - 1e-6
+                to, step = np.arctan2(dy, dx), 2 * np.pi / 64
+                lo = np.ceil((to - half) / step).astype(int)
+                n = np.where(d > 0, np.maximum(np.floor((to + half) / step).astype(int) - lo, 0), 0)
+                seen |= _RUNS[lo % 64, n]
+    return seen == np.uint64(2**64 - 1)
+
+
 def alpha_outlines(points: DataFrame, partition: DataFrame, radius: float) -> DataFrame:
     """(cid, num, u, v, x1, y1, x2, y2): the sides of each part's alpha shape: pairs of its plane points through which a circle of this radius goes that holds no other point of
     the part (u < v are ids; of points at one place the smallest stands for all). num is the number of the part's members.
 
-    Points of one place are one corner, a point without any within two radii has no side. Only points within two radii of each other meet, in cells.
+    Points of one place are one corner, a point without any within two radii has no side. Points where no circle can be empty, as cells with points are all around, are
+    left out first; the others meet in tiles. Of these, points surrounded by a few others are passed by; for the rest, those within two radii of a point cover the centres of
+    the circles through it, and only pairs with a centre that is not covered are tried with all of these. A circle around a place where none can be empty is none: others have no point inside that was left out.
     """
-    from orrery.operators.graphs import radius_pairs
-
     p = partition.join(points, partition["node"] == points["id"]).select("cid", "id", F.get("x", 0).alias("x"), F.get("x", 1).alias("y"))
     num = p.groupBy("cid").agg(F.count("*").alias("num"))
-    q = materialize(p.groupBy("cid", "x", "y").agg(F.min("id").alias("id")), "outline-points")
-    at = lambda n: q.select("cid", F.col("id").alias(n), F.col("x").alias("x_" + n), F.col("y").alias("y_" + n))
-    e = radius_pairs(q.select("id", F.array("x", "y").alias("x")), 2 * radius).select("u", "v")
-    e = materialize(e.join(at("u"), "u").join(at("v"), ["cid", "v"]), "outline-pairs")
-    dx, dy = F.col("x_v") - F.col("x_u"), F.col("y_v") - F.col("y_u")
-    h = F.sqrt(F.greatest(F.lit(0.0), radius * radius / (dx * dx + dy * dy) - 0.25))
-    mx, my = (F.col("x_u") + F.col("x_v")) / 2, (F.col("y_u") + F.col("y_v")) / 2
-    e = e.withColumns({"lx": mx - dy * h, "ly": my + dx * h, "rx": mx + dy * h, "ry": my - dx * h})
-    near = e.select("cid", "u", F.col("v").alias("z"), F.col("x_v").alias("x_z"), F.col("y_v").alias("y_z")).unionByName(e.select("cid", F.col("v").alias("u"), F.col("u").alias("z"), F.col("x_u").alias("x_z"), F.col("y_u").alias("y_z")))
-    inside = lambda x, y: (F.pow(F.col("x_z") - F.col(x), 2) + F.pow(F.col("y_z") - F.col(y), 2) < radius * radius - 1e-9).cast("int")
-    full = e.join(near, ["cid", "u"]).where("z <> v").groupBy("cid", "u", "v").agg(F.max(inside("lx", "ly")).alias("l"), F.max(inside("rx", "ry")).alias("r"))
-    sides = e.join(full.where("l = 1 AND r = 1"), ["cid", "u", "v"], "left_anti")
-    return sides.join(num, "cid").select("cid", "num", "u", "v", F.col("x_u").alias("x1"), F.col("y_u").alias("y1"), F.col("x_v").alias("x2"), F.col("y_v").alias("y2"))
+    some = p.where("cid IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    q = some.groupBy("cid", "x", "y").agg(F.min("id").alias("id")).withColumns({f"c{k}": F.floor(F.col(c) / (radius / FINE)) for k, c in enumerate("xy")})
+    q = materialize(q, "outline-points")
+    margin = 1e-7 + 1e-9 / (radius * radius)
+    cells = _in_tiles(q.select("cid", "c0", "c1").distinct(), [F.col("c0"), F.col("c1")], TILE, HALO).groupBy("cid", "t0", "t1")
+
+    def near_voids(d: pd.DataFrame) -> pd.DataFrame:
+        tile = int(d["t0"].iloc[0]), int(d["t1"].iloc[0])
+        some, free = _voids(d, tile, margin)
+        outer = FINE * FINE * (1 + 1e-7)
+        some &= _discs(free, [math.floor(math.sqrt(outer - max(k - 1, 0) ** 2) + 1) for k in range(FINE + 2)])
+        i, j = np.nonzero(some[HALO : HALO + TILE, HALO : HALO + TILE])
+        return pd.DataFrame({"cid": d["cid"].iloc[0], "c0": i + tile[0] * TILE, "c1": j + tile[1] * TILE})
+
+    open_ = cells.applyInPandas(near_voids, "cid bigint, c0 bigint, c1 bigint")
+    q = materialize(q.join(open_, ["cid", "c0", "c1"], "left_semi").select("cid", "id", "x", "y"), "outline-open")
+    size, least = 4 * radius, radius * radius - 1e-9
+
+    def sides(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("x")
+        ids, x, y = d["id"].to_numpy(), d["x"].to_numpy(), d["y"].to_numpy()
+        mine = (np.floor(x / size) == d["t0"].iloc[0]) & (np.floor(y / size) == d["t1"].iloc[0])
+        first, last = np.searchsorted(x, x - 2.001 * radius), np.searchsorted(x, x + 2.001 * radius, "right")
+        out: list[tuple[int, int, float, float]] = []
+        mine = np.nonzero(mine)[0]
+        for k in mine[~_surrounded(x, y, mine, radius)]:
+            near = np.arange(first[k], last[k])
+            dx, dy = x[near] - x[k], y[near] - y[k]
+            dd = dx * dx + dy * dy
+            ok = (np.sqrt(dd) <= 2 * radius) & (near != k)
+            near, dx, dy, dd = near[ok], dx[ok], dy[ok], dd[ok]
+            to, r = np.arctan2(dy, dx), np.sqrt(dd)
+            # Each neighbour lies in the circles through the point whose centres are in this arc, cut a little against rounding.
+            half = np.arccos(np.minimum(1, (dd + 1e-9) / (2 * radius * r))) - 1e-6
+            some = half > 0
+            lo = np.concatenate([(to - half)[some] + turn for turn in (-2 * np.pi, 0, 2 * np.pi)])
+            hi = np.concatenate([(to + half)[some] + turn for turn in (-2 * np.pi, 0, 2 * np.pi)])
+            order = np.argsort(lo)
+            lo, hi = np.append(-np.inf, lo[order]), np.append(-np.inf, np.maximum.accumulate(hi[order]))
+            ends = np.arccos(np.minimum(1, r / (2 * radius)))
+            h = np.sqrt(np.maximum(0, radius * radius / dd - 0.25))
+            maybe = [hi[np.searchsorted(lo, e) - 1] <= e for e in (to - ends, to + ends)]
+            for n in np.nonzero((maybe[0] | maybe[1]) & (ids[near] > ids[k]))[0]:
+                z = near[n]
+                mx, my = (x[k] + x[z]) / 2, (y[k] + y[z]) / 2
+                others = near[near != z]
+                for sign in (1, -1):
+                    cx, cy = mx - sign * dy[n] * h[n], my + sign * dx[n] * h[n]
+                    if not ((x[others] - cx) ** 2 + (y[others] - cy) ** 2 < least).any():
+                        out.append((k, z, cx, cy))
+        u, v = np.array([o[:2] for o in out], int).reshape(-1, 2).T
+        at = np.floor(np.array([o[2:] for o in out]).reshape(-1, 2) / (radius / FINE)).astype(int).T
+        return pd.DataFrame({"cid": d["cid"].iloc[0], "u": ids[u], "v": ids[v], "x1": x[u], "y1": y[u], "x2": x[v], "y2": y[v], "c0": at[0], "c1": at[1]})
+
+    def centred(e: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(e):
+            return e[kept]
+        tile = int(e["t0"].iloc[0]), int(e["t1"].iloc[0])
+        free = _voids(d, tile, margin)[1]
+        return e.loc[free[e["c0"].to_numpy() - tile[0] * TILE + HALO, e["c1"].to_numpy() - tile[1] * TILE + HALO], kept]
+
+    tiles = _in_tiles(q, [F.col("x"), F.col("y")], size, 2.01 * radius)
+    kept, types = ["cid", "u", "v", "x1", "y1", "x2", "y2"], "cid bigint, u bigint, v bigint, x1 double, y1 double, x2 double, y2 double"
+    found = tiles.groupBy("cid", "t0", "t1").applyInPandas(sides, types + ", c0 bigint, c1 bigint")
+    found = _in_tiles(found, [F.col("c0"), F.col("c1")], TILE, 0).groupBy("cid", "t0", "t1").cogroup(cells).applyInPandas(centred, types).distinct()
+    return found.join(num, "cid").select("cid", "num", "u", "v", "x1", "y1", "x2", "y2")

@@ -132,3 +132,36 @@ def test_flow_partition_finds_cliques(spark):
     m = {r["node"]: r for r in priors.map_moves(g, wrong).collect()}
     right = wrong.withColumn("cid", F.when(F.col("node") == 6, F.lit(m[6]["cid"])).otherwise(F.col("cid")))
     assert math.isclose(priors.codelength(g, right).first()[0] - priors.codelength(g, wrong).first()[0], m[6]["delta"], abs_tol=1e-9)
+
+
+def test_alpha_outlines_of_crowds_meet_the_definition(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(c, 0.25, (120, 2)) for c in ((0, 0), (1.5, 0.4), (-4.0, 3.0))] + [rng.uniform(-3, 4, (40, 2)), np.round(rng.uniform(5, 6.5, (120, 2)), 1)])
+    s = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, [0.0, 0.0]), (901, [0.0, 0.0])], "id long, x array<double>")
+    cid = F.when(F.col("id") % 7 == 0, 2).otherwise(1).cast("long")
+    r = 0.3
+    want = set()
+    for part in (1, 2):
+        at = {}
+        for k, v in [*enumerate(x.tolist()), (900, [0.0, 0.0]), (901, [0.0, 0.0])]:
+            if (2 if k % 7 == 0 else 1) == part:
+                at.setdefault(tuple(v), k)
+        ids, y = np.array(list(at.values())), np.array(list(at))
+        for i, j in ((i, j) for i in range(len(ids)) for j in range(len(ids)) if ids[i] < ids[j]):
+            dx, dy = y[j] - y[i]
+            if math.sqrt(dx * dx + dy * dy) <= 2 * r:
+                h = math.sqrt(max(0, r * r / (dx * dx + dy * dy) - 0.25))
+                others = np.delete(y, [i, j], axis=0)
+                if any(not (((others - (y[i] + y[j]) / 2 - [-k * dy * h, k * dx * h]) ** 2).sum(1) < r * r - 1e-9).any() for k in (1, -1)):
+                    want.add((part, ids[i], ids[j]))
+    got = quality.alpha_outlines(s, s.select(F.col("id").alias("node"), cid.alias("cid")), r)
+    assert [(c.cid, c.u, c.v) for c in got.select("cid", "u", "v").orderBy("cid", "u", "v").collect()] == sorted(want) and len(want) > 100
+    # Where a crowd has points all around, none of them meets another: only those near a void are written again.
+    written = []
+    keep, quality.materialize = quality.materialize, lambda df, name: written.append((name, keep(df, name))) or written[-1][1]
+    try:
+        crowd = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.uniform(0, 2, (4000, 2)))], "id long, x array<double>")
+        assert quality.alpha_outlines(crowd, crowd.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("cid")), r).count() > 20
+    finally:
+        quality.materialize = keep
+    assert dict(written)["outline-open"].count() < 1000
