@@ -165,3 +165,24 @@ def test_alpha_outlines_of_crowds_meet_the_definition(spark):
     finally:
         quality.materialize = keep
     assert dict(written)["outline-open"].count() < 1000
+
+
+def test_links_join_what_all_edges_of_a_radius_join(spark):
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.uniform(0, 9, (90, 2)), rng.normal(2.0, 0.2, (150, 2)), np.round(rng.uniform(0, 9, (60, 2)))])
+    x = np.concatenate([x, x[:20], np.full((3, 2), 50.0)])
+    p = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>").cache()
+    every = {(e.u, e.v) for e in graphs.radius_graph(p, 0.9).collect()}
+    links = {(e.u, e.v) for e in graphs.radius_links(p, 0.9).collect()}
+    assert links <= every and len(links) < len(every) / 3
+
+    def joined(pairs):
+        of = {k: {k} for k in range(len(x))}
+        for u, v in pairs:
+            if of[u] is not of[v]:
+                of[u] |= of[v]
+                for k in of[v]:
+                    of[k] = of[u]
+        return {frozenset(c) for c in of.values()}
+
+    assert joined(links) == joined(every) and len(joined(every)) > 3
