@@ -167,7 +167,8 @@ def test_alpha_outlines_of_crowds_meet_the_definition(spark):
     assert dict(written)["outline-open"].count() < 1000
 
 
-def test_links_join_what_all_edges_of_a_radius_join(spark):
+def test_links_join_what_all_edges_of_a_radius_join(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "FEW", 0)
     rng = np.random.default_rng(21)
     x = np.concatenate([rng.uniform(0, 9, (90, 2)), rng.normal(2.0, 0.2, (150, 2)), np.round(rng.uniform(0, 9, (60, 2)))])
     x = np.concatenate([x, x[:20], np.full((3, 2), 50.0)])
