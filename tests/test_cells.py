@@ -187,3 +187,34 @@ def test_links_join_what_all_edges_of_a_radius_join(spark, monkeypatch):
         return {frozenset(c) for c in of.values()}
 
     assert joined(links) == joined(every) and len(joined(every)) > 3
+
+
+def test_graphical_lasso_of_many_and_of_equal_series(spark, monkeypatch):
+    from orrery.operators import lasso
+
+    def dense(c: np.ndarray, penalty: float) -> np.ndarray:
+        n = len(c)
+        z, dual = np.eye(n), np.zeros((n, n))
+        for _ in range(6_000):
+            e, q = np.linalg.eigh(z - dual - c)
+            a = (q * ((e + np.sqrt(e * e + 4)) / 2)) @ q.T + dual
+            z = np.sign(a) * np.maximum(np.abs(a) - penalty * (1 - np.eye(n)), 0)
+            dual = a - z
+        return z
+
+    monkeypatch.setattr(dynamics, "MOST_NODES", 20)
+    monkeypatch.setattr(graphs, "BLOCK", 15)
+    for name, small in (("PIVOT", 8), ("ROWS", 16), ("IN_MEMORY", 100)):
+        monkeypatch.setattr(lasso, name, small)
+    base = np.random.default_rng(5).normal(size=(34, 14))
+    # More series than the bound was, fewer times than series, and up to four equal ones; one has no variation.
+    x = np.concatenate([base, base[:9], base[:9] * 2 + 3, base[:4], np.ones((1, 14))])
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    for penalty in (0.25, 0.6):
+        got = {(r["u"], r["v"]): r["w"] for r in dynamics.graphical_lasso(d, penalty).collect()}
+        z = dense(np.corrcoef(x[:-1]), penalty)
+        want = -z / np.sqrt(np.outer(np.diag(z), np.diag(z)))
+        assert all(u < v for u, v in got) and (0, 34) in got
+        for i in range(len(z)):
+            for j in range(i + 1, len(z)):
+                assert math.isclose(got.get((i, j), 0.0), want[i, j], abs_tol=1e-6), (i, j)
