@@ -254,6 +254,19 @@ def test_degree_threshold_follows_the_users(spark, tmp_path):
     assert QUERIES["degree_threshold"](spark, str(tmp_path)).count() == 30 * 4 / 2
 
 
+def test_degree_threshold_with_events_without_time(spark, tmp_path, rows):
+    from orrery.plans.graph_queries import QUERIES
+
+    rng = np.random.default_rng(3)
+    timed = [(u, datetime(2024, 1, 1 + k), float(rng.normal())) for u in range(30) for k in range(9)]
+    none = [(0, None, 5.0), (1, None, None), (None, None, 1.0)]
+    for name, e in {"timed": timed, "some": timed + none, "user": timed + none + [(99, None, 5.0)], "no": none}.items():
+        spark.createDataFrame(e, "user_id long, ts timestamp, value double").write.parquet(str(tmp_path / name / "events.parquet"))
+    want, some, user, no = (rows(QUERIES["degree_threshold"](spark, str(tmp_path / name))) for name in ("timed", "some", "user", "no"))
+    # A user without any time is a user, whose series has no correlations.
+    assert some == want and set(user) > set(want) and len(user) == 31 * 4 / 2 and not no and all(r[1] < 99 for r in user)
+
+
 def test_compare_store_and_spectral(spark, rows, tmp_path):
     from orrery.sources import store
 
